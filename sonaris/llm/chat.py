@@ -41,7 +41,7 @@ class Template:
 
 
 def escape_text(text: Column) -> Column:
-    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\\\|")
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
 
 
 def unescape_text(text: Column) -> Column:
@@ -87,7 +87,8 @@ def format_chats(df: DataFrame, template: Template = Template(), *, conv: str =
 
 def parse_chats(df: DataFrame, template: Template = Template(), *, formatted: str = "formatted") -> DataFrame:
     """df with turns array<struct<role, text>>, read back from the formatted string."""
-    parts = F.slice(F.split(F.col(formatted), rf"\Q{template.open}\E"), 2, 2147483647)
+    parts = F.split(F.col(formatted), rf"\Q{template.open}\E")
+    parts = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
 
     def turn(part: Column) -> Column:
         at = F.instr(part, F.lit("\n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Where results are materialised when the session names no shared folder (tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/sonaris"
@@ -35,3 +36,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fresh(df: DataFrame) -> DataFrame:
+    """The same columns under new identities, so that two frames of one origin can meet."""
+    return df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns])

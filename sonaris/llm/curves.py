@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonaris.llm.common import shuffle_partitions, store
+from sonaris.llm.common import fresh, shuffle_partitions, store
 
 ORDERINGS, DIRECTIONS, BITS, WINDOW = 4, 6, 10, 128
 #: Rows of a query block and of a candidate block in the exact pass, and sampled rows for the ranges.
@@ -195,7 +195,7 @@ def _windows(rows: DataFrame, orderings: list, d: int, k: int, window: int) -> D
             out.append(nearest(qi[i : i + 1], qx[i : i + 1], ci[at], cx[at], k))
         return _neighbours(out)
 
-    return asked.groupBy("block").cogroup(near.groupBy("block")).applyInArrow(compare, "query_id long, vec_id long, score double")
+    return fresh(asked).groupBy("block").cogroup(fresh(near).groupBy("block")).applyInArrow(compare, "query_id long, vec_id long, score double")
 
 
 def _neighbours(found: list) -> pa.Table:
@@ -209,11 +209,11 @@ def _all_blocks(rows: DataFrame, bound: DataFrame, d: int, n: int, k: int) -> Da
     down = -(-n // ROW_BLOCK)
     across = max(1, -(-asked.count() // QUERY_BLOCK))
     q = asked.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(across))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
-    c = rows.withColumn("j", F.pmod(F.xxhash64("id", F.lit("row")), F.lit(down)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(across - 1))).cast("long"))
+    c = rows.withColumn("j", F.pmod(F.xxhash64("id", F.lit("row")), F.lit(down)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))))
 
     def compare(q: pa.Table, c: pa.Table) -> pa.Table:
         if not q.num_rows or not c.num_rows:
             return _neighbours([])
         return _neighbours([nearest(q.column("id").to_numpy(), _matrix(q.column("vec"), d), c.column("id").to_numpy(), _matrix(c.column("vec"), d), k, q.column("within").to_numpy())])
 
-    return q.groupBy("i", "j").cogroup(c.select("i", "j", "id", "vec").groupBy("i", "j")).applyInArrow(compare, "query_id long, vec_id long, score double").distinct()
+    return fresh(q).groupBy("i", "j").cogroup(fresh(c.select("i", "j", "id", "vec")).groupBy("i", "j")).applyInArrow(compare, "query_id long, vec_id long, score double").distinct()

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonaris.llm.bpe import slices
-from sonaris.llm.common import shuffle_partitions, store
+from sonaris.llm.common import fresh, shuffle_partitions, store
 from sonaris.llm.words import PLACES, U64, Words, mix
 
 REGISTERS, MANTISSA, ROWS = 128, 10, 4
@@ -67,7 +67,7 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.unique(keys[upto[i] : upto[i + 1]])
         elif n:
             own = words[w.first[i] : w.first[i] + n]
-            yield mix(np.array([np.sum(own * PLACES[:n] if n <= len(PLACES) else own * np.arange(1, 2 * n, 2, dtype=U64)) + U64(n)], U64))
+            yield mix(np.array([np.sum(own * PLACES[:n]) + U64(n)], U64))
         else:
             yield np.zeros(0, U64)
 
@@ -297,7 +297,7 @@ def _block_links(large: DataFrame, sets: DataFrame, threshold: int) -> DataFrame
                         out.append((ka[x], kb[y]))
         return pa.table({"class": pa.array([p[0] for p in out], pa.binary()), "hub": pa.array([p[1] for p in out], pa.binary())})
 
-    return mine.select(*keep).groupBy("hub", "i", "j").cogroup(theirs.select(*keep).groupBy("hub", "i", "j")).applyInArrow(run, "class binary, hub binary")
+    return fresh(mine.select(*keep)).groupBy("hub", "i", "j").cogroup(fresh(theirs.select(*keep)).groupBy("hub", "i", "j")).applyInArrow(run, "class binary, hub binary")
 
 
 def _columns(t: pa.Table) -> tuple:

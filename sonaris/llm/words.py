@@ -14,7 +14,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Odd factors that tell the places of a shingle apart.
-PLACES = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], U64)
+PLACES = np.array([(0x9FB21C651E98DF25 * (2 * i + 1) ** 3) % (1 << 64) | 1 for i in range(64)], U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -101,6 +101,8 @@ class Words:
 
     def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash of every k words in a row that lie within a text, index of its first word)."""
+        if k > len(PLACES):
+            raise ValueError(f"windows have at most {len(PLACES)} words")
         if len(hashes) < k:
             return np.zeros(0, U64), np.zeros(0, np.int64)
         n = len(hashes) - k + 1
