@@ -2,10 +2,11 @@
 
 File format, little-endian throughout, one pair of files for each shard of consecutive documents:
 
-``shard-N.ids``  the raw ids of its documents one after another, unsigned 32-bit each, each
-                 document closed by the end id.
-``shard-N.idx``  "MPHI", version, number of keys k, levels, then for each level its size in bits and
-                 its bit array, then for each slot of the perfect hash a 32-bit fingerprint, the
+``shard-N.ids``  the raw ids of its documents one after another, unsigned integers of 2 bytes where
+                 the vocabulary has at most 65,536 ids and of 4 bytes otherwise, each document
+                 closed by the end id.
+``shard-N.idx``  "MPHI", version, bytes of an id, number of keys k, levels, then for each level its size
+                 in bits and its bit array, then for each slot of the perfect hash a 32-bit fingerprint, the
                  64-bit offset (in ids) and the 64-bit length; then the keys in file order for
                  sequential reading: k' rows (any) of 64-bit key, one byte (1: key is null), 64-bit
                  offset, 64-bit length.
@@ -88,7 +89,7 @@ class PerfectHash:
         return (_mix(keys.astype(np.uint64), 1 << 20) >> np.uint64(32)).astype(np.uint32)
 
 
-def index_bytes(keys: list[int | None], lengths: np.ndarray) -> bytes:
+def index_bytes(keys: list[int | None], lengths: np.ndarray, width: int = 4) -> bytes:
     """The .idx file of documents with these keys and lengths, in file order."""
     offsets = np.cumsum(lengths) - lengths
     null = np.array([k is None for k in keys], bool)
@@ -103,7 +104,7 @@ def index_bytes(keys: list[int | None], lengths: np.ndarray) -> bytes:
     table["print"][slot], table["offset"][slot], table["length"][slot] = mph.prints(own), offsets[rows], lengths[rows]
     plain = np.zeros(len(keys), [("key", "<i8"), ("null", "u1"), ("offset", "<i8"), ("length", "<i8")])
     plain["key"], plain["null"], plain["offset"], plain["length"] = filled, null, offsets, lengths
-    parts = [b"MPHI", struct.pack("<IQI", 1, len(own), len(mph.levels))]
+    parts = [b"MPHI", struct.pack("<IIQI", 2, width, len(own), len(mph.levels))]
     for bits in mph.levels:
         parts += [struct.pack("<Q", len(bits)), np.packbits(bits).tobytes()]
     return b"".join([*parts, table.tobytes(), struct.pack("<Q", len(keys)), plain.tobytes()])
@@ -115,8 +116,8 @@ class ShardIndex:
     def __init__(self, raw: bytes) -> None:
         if raw[:4] != b"MPHI":
             raise ValueError("not an index file")
-        _, n, levels = struct.unpack_from("<IQI", raw, 4)
-        at, bits = 20, []
+        _, self.width, n, levels = struct.unpack_from("<IIQI", raw, 4)
+        at, bits = 24, []
         for _ in range(levels):
             (size,) = struct.unpack_from("<Q", raw, at)
             wide = (size + 7) // 8
@@ -163,6 +164,7 @@ def write_token_shards(df: DataFrame, path: str, tokenizer: str | None = None, *
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, keys, lengths, n = codec(file), [], [], 0
+        width = 2 if max(len(c.tokens) - 1, end_id) < 1 << 16 else 4
         shard = TaskContext.get().partitionId()
         out = None
         for whole in batches:
@@ -174,7 +176,7 @@ def write_token_shards(df: DataFrame, path: str, tokenizer: str | None = None, *
                     aside = f"{name}.ids.{uuid.uuid4().hex}"
                     out = fs.open_output_stream(aside)
                 ids, counts = c.encode(b.column("text"))
-                all_ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
+                all_ids = np.insert(ids, np.cumsum(counts), end_id).astype(f"<u{width}")
                 out.write(all_ids.tobytes())
                 keys += b.column("key").to_pylist()
                 lengths.append(counts + 1)
@@ -182,7 +184,7 @@ def write_token_shards(df: DataFrame, path: str, tokenizer: str | None = None, *
         if out is not None:
             out.close()
             fs.move(aside, f"{name}.ids")
-            _put(fs, f"{name}.idx", [index_bytes(keys, np.concatenate(lengths))])
+            _put(fs, f"{name}.idx", [index_bytes(keys, np.concatenate(lengths), width)])
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": [len(keys)], "n_ids": [n], "ids_file": [f"{path}/shard-{shard:06d}.ids"], "idx_file": [f"{path}/shard-{shard:06d}.idx"]})
 
     ordered = (df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
@@ -212,7 +214,7 @@ def read_token_shards(manifest: DataFrame, *, key: str = "doc_id") -> DataFrame:
                     begin = int(index.rows["offset"][step])
                     to = max(step + 1, int(np.searchsorted(ends, begin + (2 << 20), "right")))
                     rows = index.rows[step:to]
-                    ids = np.frombuffer(f.read(4 * int(ends[to - 1] - begin)), "<u4")
+                    ids = np.frombuffer(f.read(index.width * int(ends[to - 1] - begin)), f"<u{index.width}")
                     yield pa.RecordBatch.from_arrays([
                         pa.array(rows["key"], pa.int64(), mask=rows["null"].astype(bool)), pa.array(np.full(to - step, m["shard"], np.int32)),
                         pa.array(m["start"] + rows["offset"]), pa.array(rows["length"]),
@@ -231,7 +233,7 @@ def lookup(spark: SparkSession, manifest_row: dict, keys: list[int]) -> dict[int
     found, where, size = index.find(np.array(keys, np.int64))
     fs, at = _fs(manifest_row["ids_file"])
     with fs.open_input_file(at) as f:
-        return {k: np.frombuffer(f.read_at(4 * int(n), 4 * int(o)), "<u4") for k, ok, o, n in zip(keys, found, where, size) if ok}
+        return {k: np.frombuffer(f.read_at(index.width * int(n), index.width * int(o)), f"<u{index.width}").astype("<u4") for k, ok, o, n in zip(keys, found, where, size) if ok}
 
 
 def op3_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
