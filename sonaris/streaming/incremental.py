@@ -53,5 +53,6 @@ class IncrementalMoments:
 
 def windowed_notes(events: DataFrame, *, time: str = "ts", late: str = "10 minutes", window: str = "5 minutes", key: str = "event_type", value: str = "value") -> DataFrame:
     """Counts and sums of timed events by window and kind, for batch and streaming input alike."""
-    return (events.withWatermark(time, late).groupBy(F.window(time, window), key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+    timed = events.withColumn(time, F.col(time).cast("timestamp"))  # watermarks need a zone
+    return (timed.withWatermark(time, late).groupBy(F.window(time, window), key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
             .select(F.col("window.start").alias("window_start"), key, "n", "total"))
