@@ -205,7 +205,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node that each node of links (a, b) reaches, by alternating
+    """(node, component) of every node of links (a, b) but the smallest of each component: that smallest one. By alternating
     large-star and small-star steps until nothing changes. Stored after every round."""
     edges = store(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links")
     before = None
