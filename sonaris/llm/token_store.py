@@ -20,7 +20,7 @@ Shards are the range partitions of the key order, so shards and the offsets with
 ascending key order, and the global start of a shard is the sum of the ids of those before it.
 
 Edge cases: null text is an empty document (the end id alone); an empty table gives no shard and no
-row; of equal keys the first in (key, text) order is in the index and all are in the payload;
+row; of equal keys in a shard the first is in its index and all are in the payload (equal keys may span shards);
 rows with a null key come first and are only read sequentially.
 """
 

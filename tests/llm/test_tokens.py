@@ -104,7 +104,7 @@ def test_shards_of_odd_tables(spark, tmp_path):
     manifest = token_store.write_token_shards(df, str(tmp_path / "s"), shards=3)
     got = token_store.read_token_shards(manifest).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, -3, 5, 5, 7, 7, 1 << 62]
-    assert sum(r.indexed for r in got) == 4  # one of each known key
+    assert {r.doc_id for r in got if r.indexed} == {-3, 5, 7, 1 << 62}
     for m in (r.asDict() for r in manifest.collect()):
         found = token_store.lookup(spark, m, [5, -3, 1 << 62, 99])
         assert 99 not in found and all(x[-1] == 1 for x in found.values())
