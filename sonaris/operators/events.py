@@ -235,6 +235,11 @@ def score_stats(score: DataFrame) -> DataFrame:
     return out.join(bank_selects(score), "file_id", "left")
 
 
+def opus_length(opus: DataFrame) -> DataFrame:
+    """(file_id, nticks): the deltas of all tracks added up."""
+    return opus.groupBy("file_id").agg(F.coalesce(F.sum("time"), F.lit(0)).alias("nticks"))
+
+
 def bank_selects(score: DataFrame) -> DataFrame:
     """(file_id, bank_selects): controller 0 with the controller 32 that follows it on its channel before
     another controller 0; -1 for a missing half."""

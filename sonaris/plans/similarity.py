@@ -7,12 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonaris.operators.events import opus_to_score, patch_changes, pedal_changes, split_columns, to_milliseconds
+from sonaris.operators.events import opus_to_score, patch_changes, pedal_changes, score_to_opus, split_columns, to_milliseconds
 from sonaris.operators.pooling import embed_sequences
 from sonaris.operators.search import rank_matches, similarity_topk
 from sonaris.operators.tokens import apply_sustain, attach_patches, notes_to_tokens
 from sonaris.sources.files import copy_manifest, save_embeddings
-from sonaris.sources.midi import opus_events, read_midi
+from sonaris.sources.midi import opus_events, read_midi, write_midi
+
+
+def midi_to_score(files: DataFrame, **options) -> DataFrame:
+    """Files as scores in ticks."""
+    return opus_to_score(opus_events(read_midi(files, **options)))
+
+
+def midi_to_ms_score(files: DataFrame, **options) -> DataFrame:
+    """Files as scores in milliseconds."""
+    return opus_to_score(to_milliseconds(opus_events(read_midi(files, **options))))
+
+
+def score_to_midi(score: DataFrame) -> DataFrame:
+    """(file_id, content, warnings) of scores with ticks."""
+    return write_midi(score_to_opus(score))
 
 
 def files_to_notes(files: DataFrame, *, content: str = "content", key: str = "path") -> DataFrame:

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sonaris.sources.midi import decode_file, encode_file
+
 NAMES, VECTORS = "midi_names", "midi_embeddings"
 
 
@@ -98,6 +100,31 @@ def copy_files(manifest: DataFrame) -> DataFrame:
     return manifest.where("found").select("src", "dst").mapInArrow(run, "dst string, copied boolean, error string")
 
 
+def write_normalized(files: DataFrame, out: str, *, key: str = "path", content: str = "content") -> DataFrame:
+    """(src, dst, written, error): each MIDI file decoded, encoded and written below out under its own name, or
+    with _normalized added where that is the file itself. out must be a folder that all executors share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = []
+            for src, raw in zip(b.column("src").to_pylist(), b.column("content").to_pylist()):
+                own = Path(src.removeprefix("file:"))
+                target = Path(out, own.name)
+                if target.exists() and own.exists() and target.samefile(own):
+                    target = target.with_name(f"{own.stem}_normalized{own.suffix}")
+                try:
+                    target.parent.mkdir(parents=True, exist_ok=True)
+                    aside = target.with_name(target.name + ".part")
+                    aside.write_bytes(encode_file(*decode_file(raw)[:2])[0])
+                    aside.replace(target)
+                    done.append((src, str(target), True, None))
+                except OSError as e:
+                    done.append((src, str(target), False, str(e)))
+            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_(), pa.string()))], ["src", "dst", "written", "error"])
+
+    return files.select(F.col(key).alias("src"), F.col(content).alias("content")).mapInArrow(run, "src string, dst string, written boolean, error string")
+
+
 def list_files(spark: SparkSession, folder: str, glob: str, kind: str) -> DataFrame:
     """(kind, path) of the files of a folder by name: models ("*.pth") or embeddings ("*.npy")."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path").orderBy("path").select(F.lit(kind).alias("kind"), "path")

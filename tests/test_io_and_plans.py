@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sonaris.functions.tables import patch_names, patch_table, percussion_names, percussion_table
+from sonaris.operators.events import opus_length
 from sonaris.operators.pooling import HashEmbedder
-from sonaris.plans.similarity import build_corpus, discover, files_to_notes, search_files
+from sonaris.plans.similarity import build_corpus, discover, files_to_notes, midi_to_ms_score, midi_to_score, score_to_midi, search_files
 from sonaris.sources import files as S
 from sonaris.sources import midi
 from sonaris.streaming.incremental import IncrementalMoments, IncrementalTopK, windowed_notes
@@ -49,6 +50,20 @@ def test_from_files_to_copies(spark, songs):
     assert not gone.copied and gone.error
 
 
+def test_scores_of_files_and_back(spark, songs):
+    files = midi.read_files(spark, str(songs / "in")).where("path like '%one.mid'")
+    score = midi_to_score(files)
+    assert [(r.time, r.dur, r.a) for r in score.where("event = 'note'").orderBy("seq").collect()] == [(96 * i, 96, p) for i, p in enumerate([60, 64, 67, 72])]
+    assert [(r.time, r.dur) for r in midi_to_ms_score(files).where("event = 'note'").orderBy("seq").collect()] == [(500 * i, 500) for i in range(4)]
+    again = midi_to_score(score_to_midi(score), key="file_id")
+    assert sorted(map(str, again.drop("ticks").collect())) == sorted(map(str, score.drop("ticks").collect()))
+    assert opus_length(midi.opus_events(midi.read_midi(files))).first().nticks == 384
+    for folder in ("normal", "in"):
+        out = S.write_normalized(files, str(songs / folder)).first()
+        assert out.written and out.dst.endswith("one.mid" if folder == "normal" else "one_normalized.mid")
+    assert (songs / "in" / "one.mid").read_bytes() == song([60, 64, 67, 72])
+
+
 def test_catalogue_takes_the_last(spark, tmp_path):
     for d in ("a", "b"):
         (tmp_path / d).mkdir()
