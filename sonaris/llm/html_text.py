@@ -46,7 +46,20 @@ NEAR = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"},
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""")
 RAW_END = {name: re.compile(rf"</{name}\b[^>]*+>", re.I) for name in RAW}
-NOT_WORD = re.compile(r"[^a-z0-9]+")
+NOT_WORD = re.compile(r"[^a-z]+")
+HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+#: Names such as has-sidebar or no-ads tell of a page's layout, not of the element.
+LAYOUT = re.compile(r"(?:has|with|without|no|is)(?![a-z])")
+
+
+def mark_words(value: str) -> set[str]:
+    """The words of class, id or role names that are among MARKS."""
+    found: set[str] = set()
+    for name in value.split():
+        name = HUMP.sub("-", name).lower()
+        if not LAYOUT.match(name):
+            found.update(NOT_WORD.split(name))
+    return found & MARKS
 
 
 class _Page:
@@ -120,19 +133,24 @@ class _Page:
         if name == "a":
             self.in_link += 1
 
+    def _in_container(self) -> bool:
+        return any(self.tag[i] in CONTAINERS for i in self.open)
+
     def _is_dropped(self, name: str, attributes: str) -> bool:
         if name in DROPPED:
             return True
         if name == "header":  # an article's own header holds its title
-            return not any(self.tag[i] in CONTAINERS for i in self.open)
+            return not self._in_container()
         if name in ("html", "body") or not attributes.strip():
             return False
         for key, value in ATTRIBUTE.findall(attributes):
-            key, value = key.lower(), html.unescape(value.strip("\"'")).lower()
-            if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
-                return True
-            if key in ("class", "id", "role") and name not in CONTAINERS and not MARKS.isdisjoint(NOT_WORD.split(value)):
+            key, value = key.lower(), html.unescape(value.strip("\"'"))
+            if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and "display:none" in value.lower().replace(" ", "")):
                 return True
+            if key in ("class", "id", "role") and name not in CONTAINERS:
+                words = mark_words(value)
+                if words - {"header"} or (words and not self._in_container()):
+                    return True
         return False
 
     def _close_near(self, names: set[str], stop: set[str]) -> None:
@@ -197,8 +215,10 @@ def main_text(source: str | None) -> str:
     if above >= 0:
         for i, up in enumerate(page.parent):
             if up == above and i != best and chars[i]:
-                prose = page.tag[i] == "p" and links[i] <= 0.25 * chars[i] and chars[i] >= 80
-                if prose or (value[i] >= max(10.0, 0.2 * value[best]) and links[i] <= 0.25 * chars[i]):
+                few_links = links[i] <= 0.25 * chars[i]
+                prose = page.tag[i] == "p" and chars[i] >= 80
+                title = page.tag[i] == "h1" and i < best
+                if few_links and (prose or title or value[i] >= max(1.0, 0.2 * value[best])):
                     kept.add(i)
     inside = [False] * len(page.tag)
     for i in range(len(page.tag)):  # parents come first

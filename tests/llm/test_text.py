@@ -32,6 +32,9 @@ PROSE = "This is a paragraph of prose, with commas, and long enough to be told f
     (page(f"<header>Site</header><main><p>{PROSE}</p><form><p>Name</p></form><script>if (a<b) x='</p>'</script><style>p{{}}</style></main>"), PROSE),
     (page(f"<article><p>{PROSE}</p><div class='comments'><p>{PROSE}</p></div><aside>x</aside><!-- no --></article>"), PROSE),
     (page(f"<div class=cookie-notice>We use cookies, you know</div><article><header><h1>Own title</h1></header><p>{PROSE}</p></article>"), f"Own title\n\n{PROSE}"),
+    (page(f"<h1>Title before</h1><div class='has-sidebar content'><p>{PROSE}</p></div><div id='mainNav2'><p>{PROSE}</p></div><div class=siteHeader>{PROSE}</div>"), f"Title before\n\n{PROSE}"),
+    (page(f"<article><div class='post-header'><h1>T</h1></div><div><p>{PROSE}</p><p>{PROSE}</p></div><div><p>Short part, with a comma.</p></div></article>"), f"T\n\n{PROSE}\n\n{PROSE}\n\nShort part, with a comma."),
+    (page(f"<div><div><p>{PROSE}</p><p>{PROSE}</p></div><div><p>Another part, quite short, with commas.</p></div></div>"), f"{PROSE}\n\n{PROSE}\n\nAnother part, quite short, with commas."),
     (page("<article><h1>Only a title</h1></article>"), "Only a title"),
     (page(f"<article><p>{PROSE}</p><ul><li><a href=1>one</a></li><li><a href=2>two</a></li></ul><ul><li>kept item</li></ul></article>"), f"{PROSE}\n\nkept item"),
     (f"<article><p>{PROSE}</p><p>no end tags", f"{PROSE}\n\nno end tags"),
