@@ -110,9 +110,10 @@ def nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, rows: np.ndarray,
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
-    """Vectors kept as bytes of doubles."""
-    raw = b"".join(column.to_pylist())
-    return np.frombuffer(raw, "<f8").reshape(-1, d)
+    """Vectors kept as bytes of their own precision, as doubles."""
+    values = column.to_pylist()
+    kind = f"<f{len(values[0]) // d}" if values else "<f8"
+    return np.frombuffer(b"".join(values), kind).reshape(-1, d).astype(np.float64)
 
 
 def nearest_neighbours(df: DataFrame, queries: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 10, orderings: int = ORDERINGS, directions: int = DIRECTIONS,
@@ -129,7 +130,7 @@ def nearest_neighbours(df: DataFrame, queries: Column, *, key: str = "vec_id", v
     rows = store(rows.where(F.size("vec") == d).mapInArrow(_packer, "id long, query boolean, vec binary").distinct(), "vectors")
     chance = min(1.0, 2 * FIT_ROWS / n)
     sample = rows.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 30)) < chance * (1 << 30)).select("vec").limit(FIT_ROWS).collect()
-    fit = np.frombuffer(b"".join(bytes(r.vec) for r in sample) or bytes(8 * d), "<f8").reshape(-1, d)
+    fit = _matrix(pa.array([bytes(r.vec) for r in sample] or [bytes(8 * d)], pa.binary()), d)
     found = store(_windows(rows, _orderings(fit, orderings, directions), d, k, window), "window-neighbours")
     top = Window.partitionBy("query_id").orderBy("score", "vec_id")
     merged = found.distinct().withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
@@ -141,16 +142,18 @@ def nearest_neighbours(df: DataFrame, queries: Column, *, key: str = "vec_id", v
 
 
 def _usable(df: DataFrame, queries: Column, key: str, vector: str) -> DataFrame:
-    """(id, query boolean, vec array<double>) of the vectors that take part."""
+    """(id, query boolean, vec) of the vectors that take part; floats stay floats, all else becomes doubles."""
+    kind = "array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
     v = F.col("vec")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = df.select(F.col(key).cast("long").alias("id"), F.coalesce(queries, F.lit(False)).alias("query"), F.col(vector).cast("array<double>").alias("vec"))
+    rows = df.select(F.col(key).cast("long").alias("id"), F.coalesce(queries, F.lit(False)).alias("query"), F.col(vector).cast(kind).alias("vec"))
     return rows.where(v.isNotNull() & F.col("id").isNotNull()).where(fine)
 
 
 def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        vecs = [np.asarray(v, "<f8").tobytes() for v in b.column("vec").to_pylist()]
+        kind = "<f4" if pa.types.is_float32(b.column("vec").type.value_type) else "<f8"
+        vecs = [np.asarray(v, kind).tobytes() for v in b.column("vec").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("query"), pa.array(vecs, pa.binary())], ["id", "query", "vec"])
 
 
