@@ -34,7 +34,7 @@ LEARN_DOCS = 2000
 #: Scores below this are rejected by keep_known_languages.
 MIN_SCORE = 0.05
 UNKNOWN = "und"
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 MAX_ROWS = 60_000
 
 _SPACE = 32
@@ -132,9 +132,12 @@ def learn_profiles(df: DataFrame, *, key: str = "doc_id", text: str = "text", la
     """Profiles from the labelled documents that aren't held out. What is collected is bounded by
     the number of languages times the profile's length."""
     known = df.where(~held_out(key) & F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    totals = known.groupBy("lang").agg(F.count(F.lit(1)).alias("total"))
-    chance = F.pmod(F.xxhash64("key", F.lit("profile")), F.lit(1 << 30)) < F.lit(float(1 << 30) * learn_docs) / F.col("total")
-    chosen = known.join(totals, "lang").where(chance).select("lang", "text")
+    totals = known.groupBy("lang").count().collect()  # one number for each language
+    if not totals:
+        return Profiles([], size)
+    chance = F.create_map(*[F.lit(x) for r in totals for x in (r.lang, min(1.0, learn_docs / r["count"]))])
+    draw = F.pmod(F.xxhash64("key", F.lit("profile")), F.lit(1 << 30)) / float(1 << 30)
+    chosen = known.where(draw < F.element_at(chance, F.col("lang"))).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches, "text"):
