@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from sonaris.llm.bpe import slices
 from sonaris.llm.common import fresh, shuffle_partitions, store
-from sonaris.llm.words import PLACES, U64, Words, mix
+from sonaris.llm.words import CHUNK_BYTES, PLACES, U64, Words, mix
 
 REGISTERS, MANTISSA, ROWS = 128, 10, 4
 BANDS = REGISTERS // ROWS
@@ -109,7 +109,7 @@ def _sketches(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", CHUNK_BYTES):
                 sizes, names, regs = [], [], []
                 for s in shingle_sets(b.column("text"), k):
                     sizes.append(len(s))
@@ -170,7 +170,7 @@ def _sets(df: DataFrame, wanted: DataFrame, key: str, text: str, k: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", CHUNK_BYTES):
                 sets = [s.tobytes() for s in shingle_sets(b.column("text"), k)]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(s).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["class", "shingles"])
 

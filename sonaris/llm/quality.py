@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sonaris.llm.bpe import slices
 from sonaris.llm.common import store
-from sonaris.llm.words import PLACES, U64, Words, mix, span_hashes
+from sonaris.llm.words import CHUNK_BYTES, PLACES, U64, Words, mix, span_hashes
 
 MIN_DOCS = 10
 SHARE = 0.05
@@ -114,7 +114,7 @@ def frequent_lines(df: DataFrame, *, host: str = "source", text: str = "text", m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", CHUNK_BYTES):
                 w = Words(b.column("text"))
                 hosts = _host_hashes(b.column("host"))
                 copies = span_hashes(w.buf, w.off[:-1], w.off[1:])
@@ -158,7 +158,7 @@ def quality_rules(df: DataFrame, *, host: str = "source", text: str = "text", mi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "__text"):
+            for b in slices(whole, "__text", CHUNK_BYTES):
                 w = Words(b.column("__text"))
                 counts = text_counts(w)
                 keys, doc, start, end, words = line_keys(w, _host_hashes(b.column("__host")))
@@ -210,7 +210,7 @@ def _with_own_lines(frame: DataFrame, frequent: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "__text"):
+            for b in slices(whole, "__text", CHUNK_BYTES):
                 w = Words(b.column("__text"))
                 keys, doc, *_ = line_keys(w, _host_hashes(b.column("__host")))
                 rows = b.column("__row").to_numpy(zero_copy_only=False)[doc]

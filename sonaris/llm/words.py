@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+#: Bytes of text that are hashed at once: a worker holds some 60 bytes for each.
+CHUNK_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Odd factors that tell the places of a shingle apart.
