@@ -14,6 +14,7 @@ no ids.  Rows keep whatever doc_id they have, null and repeated ones included.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 from collections.abc import Iterator
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that are cut at once, and fragments that a worker remembers: both bound memory.
-CHUNK_BYTES = 6 << 20
-CACHE_FRAGMENTS = 700_000
+CHUNK_BYTES = 3 << 20
+CACHE_FRAGMENTS = 500_000
 #: Fragments that go to the library in one call, with a special token between them.
 CALL_FRAGMENTS = 1000
 
@@ -224,8 +225,24 @@ def id_bytes(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
 
 
+@lru_cache(maxsize=1)
+def _trimmer():
+    """glibc's malloc_trim, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda pad: 0
+
+
+def release_memory() -> None:
+    """Give back what a finished batch has freed: workers live on and would keep their largest size."""
+    pa.default_memory_pool().release_unused()
+    _trimmer()(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about so many bytes of text; a longer text stands alone."""
+    """Parts of a batch with about so many bytes of text; a longer text stands alone. Memory is released
+    after the last."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     run = np.cumsum(sizes)
     at = 0
@@ -233,6 +250,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         to = max(at + 1, int(np.searchsorted(run, (run[at - 1] if at else 0) + limit, "right")))
         yield batch.slice(at, to - at)
         at = to
+    release_memory()
 
 
 def bpe_encode(df: DataFrame, tokenizer: str | None = None, *, key: str = "doc_id", text: str = "text", decode: bool = False) -> DataFrame:
