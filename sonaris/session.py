@@ -7,9 +7,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Rows of an Arrow batch: texts may be long, and a batch is held in the JVM and in the worker.
+ARROW_ROWS = 2000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it. On a cluster whose
-    executors lack that folder, pass the package with --py-files instead."""
+    """Let Python workers import this package from where the driver has it, and send them smaller
+    batches than the default. On a cluster whose executors lack that folder, pass the package with
+    --py-files instead."""
+    if spark.conf.get(_ARROW_ROWS, "10000") == "10000":
+        spark.conf.set(_ARROW_ROWS, str(ARROW_ROWS))
     root = str(Path(__file__).resolve().parent.parent)
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
