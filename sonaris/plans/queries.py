@@ -30,12 +30,13 @@ def r6(c: Column | str) -> Column:
 # -- search ----------------------------------------------------------------------------------------
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose id is divisible by 20 as queries, and all rows."""
     e = table(spark, sf_dir, "embeddings")
-    return e.where("vec_id < 12").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("corpus_id"), F.col("embedding").alias("vec"))
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("corpus_id"), F.col("embedding").alias("vec"))
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 16 nearest rows of the first 12 vectors by cosine."""
+    """The 16 nearest rows by cosine of every row whose id is divisible by 20."""
     return search.similarity_topk(*_vectors(spark, sf_dir)).withColumn("sim", r6("sim"))
 
 
@@ -50,19 +51,22 @@ def knn_self(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 5 nearest rows of another label for every row of label 0."""
+    """The 5 nearest rows of another label for every row."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("label = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
-    c = e.where("label != 0").select(F.col("vec_id").alias("corpus_id"), F.col("embedding").alias("vec"))
-    return search.similarity_topk(q, c, k=5).withColumn("sim", r6("sim"))
+    found = search.similarity_topk(e, e, k=5, query_id="vec_id", corpus_id="vec_id", query_vec="embedding", corpus_vec="embedding", apart="label")
+    return found.withColumn("sim", r6("sim"))
 
 
 def variant_ranked_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: one piece's 12 transpositions against the corpus, best match of each row, ranked and named."""
-    found = search.similarity_topk(*_vectors(spark, sf_dir))
-    ranked = search.rank_matches(found, 12)
-    names = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("corpus_id"), F.concat(F.lit("piece-"), F.col("vec_id").cast("string")).alias("name"))
-    return search.name_matches(ranked, names).select("place", "name", "variant", r6("score").alias("score"))
+    """Flagship: every piece's 12 transpositions against the corpus, best match of each row, ranked and named by
+    piece. A row whose id is divisible by 20 begins a piece; it and the 11 ids after it are its transpositions."""
+    e = table(spark, sf_dir, "embeddings")
+    _, corpus = _vectors(spark, sf_dir)
+    found = search.similarity_topk(e.where("vec_id % 20 < 12").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), corpus)
+    found = found.withColumn("piece", F.col("query_id") - F.col("query_id") % 20).withColumn("query_id", F.col("query_id") % 20)
+    ranked = search.rank_matches(found, 12, group=["piece"])
+    names = e.select(F.col("vec_id").alias("corpus_id"), F.concat(F.lit("piece-"), F.col("vec_id").cast("string")).alias("name"))
+    return search.name_matches(ranked, names, group=["piece"]).select("piece", "place", "name", "variant", r6("score").alias("score"))
 
 
 def underfull_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
