@@ -124,9 +124,9 @@ def selected_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pad_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word lengths of turns as tokens, padded to the longest of the table, 40 at most."""
+    """Word lengths of turns as tokens, padded to the longest of the table."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(F.split(F.coalesce("text", F.lit("")), " "), lambda w: F.length(w)).alias("tokens"))
-    out = pooling.pad_and_mask(rows, max_len=40)
+    out = pooling.pad_and_mask(rows)
     return out.select("conv_id", "turn", F.array_join("padded", " ").alias("padded"), F.size(F.filter("mask", lambda m: m)).alias("n_valid"))
 
 
@@ -138,7 +138,8 @@ def ngram_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def char_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = tokens.char_tokens(table(spark, sf_dir, "conversations"), max_len=64)
+    """The character codes of whole turns."""
+    out = tokens.char_tokens(table(spark, sf_dir, "conversations"))
     return out.select("conv_id", "turn", F.array_join("tokens", " ").alias("tokens"))
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from sonaris.operators import search
+from sonaris.operators import pooling, search, tokens
 from sonaris.plans import queries
 from sonaris.plans.oracles import _r, _topk, _v
 
@@ -18,6 +18,10 @@ SQL = {
         k AS (SELECT *, row_number() OVER (PARTITION BY piece, query_id ORDER BY sim DESC, corpus_id) AS rank FROM t QUALIFY rank <= 16),
         d AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY piece, corpus_id ORDER BY sim DESC, query_id, rank) = 1)
         SELECT piece, CAST(row_number() OVER (PARTITION BY piece ORDER BY sim DESC, query_id, rank) - 1 AS INTEGER) AS place, 'piece-' || corpus_id AS name, CAST(query_id - 6 AS INTEGER) AS variant, {_r('sim * 100')} AS score FROM d""",
+    "pad_mask": """
+        WITH t AS (SELECT conv_id, turn, list_transform(string_split(coalesce(text, ''), ' '), lambda w: length(w)) AS w FROM conversations), x AS (SELECT *, max(len(w)) OVER () AS n FROM t)
+        SELECT conv_id, turn, array_to_string(list_transform(range(1, CAST(n AS BIGINT) + 1), lambda i: CASE WHEN i <= len(w) THEN w[i] ELSE 719 END), ' ') AS padded, CAST(len(w) AS INTEGER) AS n_valid FROM x""",
+    "char_tokens": "SELECT conv_id, turn, array_to_string(list_transform(list_filter(string_split(coalesce(text, ''), ''), lambda c: octet_length(encode(c)) = 1), lambda c: ascii(c)), ' ') AS tokens FROM conversations",
 }
 
 
@@ -36,3 +40,11 @@ def test_rows_of_another_class(spark, limit):
     sims = (u @ u.T).round(12)
     want = {(i, r): j for i in range(40) if i != 7 for r, j in enumerate(sorted((j for j in range(40) if j != 7 and kinds[j] != kinds[i]), key=lambda j: (-sims[i, j], j))[:4], 1)}
     assert {(r.query_id, r["rank"]): r.corpus_id for r in got} == want
+
+
+def test_truncation_is_an_option(spark):
+    df = spark.createDataFrame([(0, "aéb" * 40, list(range(50))), (1, "c", [7])], "id int, text string, tokens array<int>")
+    assert [len(r.t) for r in tokens.char_tokens(df, out="t").orderBy("id").collect()] == [80, 1]
+    assert [r.t for r in tokens.char_tokens(df, max_len=3, out="t").orderBy("id").collect()] == [[97, 98, 97], [99]]
+    assert [len(r.padded) for r in pooling.pad_and_mask(df).collect()] == [50, 50]
+    assert [r.padded for r in pooling.pad_and_mask(df, max_len=2).orderBy("id").collect()] == [[0, 1], [7, pooling.PAD]]
