@@ -22,6 +22,14 @@ SQL = {
         WITH t AS (SELECT conv_id, turn, list_transform(string_split(coalesce(text, ''), ' '), lambda w: length(w)) AS w FROM conversations), x AS (SELECT *, max(len(w)) OVER () AS n FROM t)
         SELECT conv_id, turn, array_to_string(list_transform(range(1, CAST(n AS BIGINT) + 1), lambda i: CASE WHEN i <= len(w) THEN w[i] ELSE 719 END), ' ') AS padded, CAST(len(w) AS INTEGER) AS n_valid FROM x""",
     "char_tokens": "SELECT conv_id, turn, array_to_string(list_transform(list_filter(string_split(coalesce(text, ''), ''), lambda c: octet_length(encode(c)) = 1), lambda c: ascii(c)), ' ') AS tokens FROM conversations",
+    "retrieval_quality": f"""
+        WITH t AS ({_topk(DUE, ALL, 5, where='q.id <> c.id')}), n AS (SELECT count(*) AS n FROM embeddings),
+        g AS (SELECT vec_id AS query_id, (vec_id + 250) % n AS own FROM embeddings, n WHERE vec_id % 20 = 0),
+        h AS (SELECT g.query_id, rank AS hit FROM g LEFT JOIN t ON t.query_id = g.query_id AND t.corpus_id = own),
+        f AS (SELECT query_id, own, corpus_id AS pred FROM g JOIN t USING (query_id) WHERE rank = 1),
+        c AS (SELECT own AS c, CAST(own = pred AS INTEGER) AS tp FROM f UNION ALL SELECT pred, 0 FROM f),
+        m AS (SELECT avg(s) AS macro_f1 FROM (SELECT c, 2 * sum(tp) / count(*) AS s FROM c GROUP BY c))
+        SELECT {_r('avg(CASE WHEN hit = 1 THEN 1.0 ELSE 0.0 END)')} AS r_at_1, {_r('avg(CASE WHEN hit <= 5 THEN 1.0 ELSE 0.0 END)')} AS r_at_k, {_r('avg(coalesce(1.0 / hit, 0.0))')} AS mrr, {_r('any_value(macro_f1)')} AS macro_f1 FROM h, m""",
 }
 
 
