@@ -192,15 +192,18 @@ def channel_map(used: dict[int, set[int]]) -> list[tuple[int, int, int]]:
     return moves
 
 
-def merge_scores(scores: DataFrame, *, order: str = "ordinal") -> DataFrame:
-    """All tracks of scores played together, tracks numbered on, channels in conflict moved. What the
-    driver sees is one set of at most 16 channels for each merged score."""
-    used = {r[0]: set(r[1]) for r in scores.where("channel IS NOT NULL").groupBy(order).agg(F.collect_set("channel")).collect()}
-    tracks = scores.groupBy(order).agg((F.max("track") + 1).alias("__n"))
-    base = tracks.withColumn("__base", F.coalesce(F.sum("__n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    moves = scores.sparkSession.createDataFrame(channel_map(used), f"{order} {scores.schema[order].dataType.simpleString()}, channel int, __new int")
-    rows = scores.join(F.broadcast(base), order).withColumn("track", (F.col("track") + F.col("__base")).cast("int")).drop("__base")
-    rows = rows.join(F.broadcast(moves), [order, "channel"], "left")  # at most 15 for each score
+def merge_scores(scores: DataFrame, *, order: str = "ordinal", group: list[str] | None = None) -> DataFrame:
+    """All tracks of the scores of a group (of all, without) played together, tracks numbered on, channels in
+    conflict moved, as far as there are free ones. A group is a row of at most 16 channels for each of its scores."""
+    group = group or []
+    kind = scores.schema[order].dataType.simpleString()
+    used = scores.where("channel IS NOT NULL").groupBy(*group, order).agg(F.collect_set("channel").alias("c")).groupBy(*group).agg(F.collect_list(F.struct(F.col(order).alias("o"), "c")).alias("used"))
+    moved = F.udf(lambda used: channel_map({u["o"]: set(u["c"]) for u in used}), f"array<struct<o:{kind},channel:int,__new:int>>")
+    moves = used.select(*group, F.explode(moved("used")).alias("m")).select(*group, F.col("m.o").alias(order), "m.channel", "m.__new")
+    tracks = scores.groupBy(*group, order).agg((F.max("track") + 1).alias("__n"))
+    base = tracks.withColumn("__base", F.sum("__n").over(Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))).drop("__n")
+    rows = scores.join(base, [*group, order], "left").withColumn("track", (F.col("track") + F.coalesce("__base", F.lit(0))).cast("int")).drop("__base")
+    rows = rows.join(moves, [*group, order, "channel"], "left")  # at most 15 for each score
     return rows.withColumn("channel", F.coalesce("__new", "channel")).drop("__new").select(*scores.columns)
 
 

@@ -207,9 +207,10 @@ def mix_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two scores (users 0-5 and 6-11) of the same channels 0-5, merged."""
-    rows = _score(spark, sf_dir).where("track < 12").withColumn("ordinal", F.floor(F.col("track") / 6).cast("int")).withColumn("channel", (F.col("track") % 6).cast("int"))
-    return events.merge_scores(rows).select("event_id", "channel")
+    """Every file's two scores (its first and last five users) of the same channels 0-4, merged."""
+    place = F.col("track") % 10
+    rows = _score(spark, sf_dir).withColumn("ordinal", F.floor(place / 5).cast("int")).withColumn("channel", (place % 5).cast("int"))
+    return events.merge_scores(rows, group=["file_id"]).select("event_id", "channel")
 
 
 def tempo_to_ms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from sonaris.operators import pooling, search, tokens
+from sonaris.operators import events, pooling, search, tokens
 from sonaris.plans import queries
 from sonaris.plans.oracles import _r, _topk, _v
 
@@ -30,6 +30,7 @@ SQL = {
         c AS (SELECT own AS c, CAST(own = pred AS INTEGER) AS tp FROM f UNION ALL SELECT pred, 0 FROM f),
         m AS (SELECT avg(s) AS macro_f1 FROM (SELECT c, 2 * sum(tp) / count(*) AS s FROM c GROUP BY c))
         SELECT {_r('avg(CASE WHEN hit = 1 THEN 1.0 ELSE 0.0 END)')} AS r_at_1, {_r('avg(CASE WHEN hit <= 5 THEN 1.0 ELSE 0.0 END)')} AS r_at_k, {_r('avg(coalesce(1.0 / hit, 0.0))')} AS mrr, {_r('any_value(macro_f1)')} AS macro_f1 FROM h, m""",
+    "merge_channels": "SELECT event_id, CAST([0, 1, 2, 3, 4, 5, 6, 7, 8, 10][user_id % 10 + 1] AS INTEGER) AS channel FROM events",
 }
 
 
@@ -56,3 +57,15 @@ def test_truncation_is_an_option(spark):
     assert [r.t for r in tokens.char_tokens(df, max_len=3, out="t").orderBy("id").collect()] == [[97, 98, 97], [99]]
     assert [len(r.padded) for r in pooling.pad_and_mask(df).collect()] == [50, 50]
     assert [r.padded for r in pooling.pad_and_mask(df, max_len=2).orderBy("id").collect()] == [[0, 1], [7, pooling.PAD]]
+
+
+def test_files_are_merged_by_themselves(spark):
+    rows = [("a", o, o, 0, c) for o in range(2) for c in range(9)] + [("b", 0, 0, 0, 3), ("b", 1, 0, 0, 3), ("b", 1, 0, 1, None), (None, 0, 0, 0, 5)]
+    df = spark.createDataFrame(rows, "file_id string, ordinal int, track int, seq int, channel int")
+    got = events.merge_scores(df, group=["file_id"]).collect()
+    assert len(got) == len(rows)
+    assert sorted(r.channel for r in got if r.file_id == "a" and r.ordinal == 0) == list(range(9))
+    assert sorted(r.channel for r in got if r.file_id == "a" and r.ordinal == 1) == [6, 7, 8, 10, 11, 12, 13, 14, 15]  # six are free, the rest stay
+    assert {(r.ordinal, r.seq, r.track, r.channel) for r in got if r.file_id == "b"} == {(0, 0, 0, 3), (1, 0, 1, 0), (1, 1, 1, None)}
+    assert [r.channel for r in got if r.file_id is None] == [5]
+    assert sorted(r.channel for r in events.merge_scores(df.where("file_id = 'b' AND channel = 3")).collect()) == [0, 3]
