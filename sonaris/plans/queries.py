@@ -377,7 +377,7 @@ def focal_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").where("vec_id < 100").select("vec_id", F.transform(doubles("embedding"), lambda x: x * 3 + 1).alias("v"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(doubles("embedding"), lambda x: x * 3 + 1).alias("v"))
     return _long(rows.select("vec_id", unit("v").alias("pooled")), "vec_id")
 
 

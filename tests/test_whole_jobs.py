@@ -31,6 +31,8 @@ SQL = {
         m AS (SELECT avg(s) AS macro_f1 FROM (SELECT c, 2 * sum(tp) / count(*) AS s FROM c GROUP BY c))
         SELECT {_r('avg(CASE WHEN hit = 1 THEN 1.0 ELSE 0.0 END)')} AS r_at_1, {_r('avg(CASE WHEN hit <= 5 THEN 1.0 ELSE 0.0 END)')} AS r_at_k, {_r('avg(coalesce(1.0 / hit, 0.0))')} AS mrr, {_r('any_value(macro_f1)')} AS macro_f1 FROM h, m""",
     "merge_channels": "SELECT event_id, CAST([0, 1, 2, 3, 4, 5, 6, 7, 8, 10][user_id % 10 + 1] AS INTEGER) AS channel FROM events",
+    "unit_vectors": f"""WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE * 3 + 1 AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
+        SELECT vec_id, CAST(dim AS INTEGER) AS dim, {_r('x / greatest(sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 1e-12)')} AS value FROM u""",
 }
 
 
