@@ -33,6 +33,13 @@ SQL = {
     "merge_channels": "SELECT event_id, CAST([0, 1, 2, 3, 4, 5, 6, 7, 8, 10][user_id % 10 + 1] AS INTEGER) AS channel FROM events",
     "unit_vectors": f"""WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE * 3 + 1 AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
         SELECT vec_id, CAST(dim AS INTEGER) AS dim, {_r('x / greatest(sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 1e-12)')} AS value FROM u""",
+    "underfull_topk": f"""
+        WITH t AS ({_topk(DUE, ALL, 64)}), s AS (SELECT vec_id AS query_id, CAST(r AS INTEGER) AS rank FROM embeddings, range(1, 65) b(r) WHERE vec_id % 20 = 0)
+        SELECT s.query_id, s.rank, coalesce(corpus_id, -1) AS corpus_id, sim FROM s LEFT JOIN t USING (query_id, rank)""",
+    "heatmap": f"""
+        WITH t AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS sim FROM ({DUE}) a JOIN ({ALL}) b ON true),
+        g AS (SELECT *, sign(sim) * pow(abs(sim), 0.55) AS bent FROM t), e AS (SELECT quantile_cont(bent, 0.02) AS lo, quantile_cont(bent, 0.98) AS hi FROM g)
+        SELECT a, b, {_r('sim')} AS sim, {_r('greatest(lo, least(hi, bent))')} AS shown FROM g, e""",
 }
 
 
@@ -71,3 +78,19 @@ def test_files_are_merged_by_themselves(spark):
     assert {(r.ordinal, r.seq, r.track, r.channel) for r in got if r.file_id == "b"} == {(0, 0, 0, 3), (1, 0, 1, 0), (1, 1, 1, None)}
     assert [r.channel for r in got if r.file_id is None] == [5]
     assert sorted(r.channel for r in events.merge_scores(df.where("file_id = 'b' AND channel = 3")).collect()) == [0, 3]
+
+
+def test_heatmap_of_all_pairs_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "MAX_BROADCAST", 7)
+    x = np.random.default_rng(5).standard_normal((23, 3))
+    x[4] = x[5] = x[6]
+    x[9] = 0
+    df = spark.createDataFrame([(str(i), [float(v) for v in r]) for i, r in enumerate(x)], "name string, vec array<double>").repartition(3)
+    got = {(int(r.a), int(r.b)): (r.sim, r.shown) for r in search.similarity_heatmap(df, key="name", vector="vec").collect()}
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    sims = u @ u.T
+    bent = np.sign(sims.round(12)) * np.abs(sims.round(12)) ** 0.55
+    lo, hi = np.quantile(bent, [0.02, 0.98])
+    assert len(got) == 23 * 23
+    assert all(got[i, j] == pytest.approx((sims[i, j], min(max(bent[i, j], lo), hi)), abs=1e-9) for i, j in got)
+    assert search.similarity_heatmap(df.limit(0), key="name", vector="vec").count() == 0
