@@ -8,6 +8,8 @@ distance over its maximum.
 
 Profiles are learned from about ``learn_docs`` labelled documents of each language, chosen by a hash
 of their key (all, if there are fewer); a document's prediction uses nothing but its whole text.
+keep_known_languages rejects scores below a limit of each language, which comes from the same
+documents: ``MARGIN`` of the score that all but ``LOWEST`` of them exceed, ``MIN_SCORE`` at least.
 
 Edge cases: a null text, or one without any letter, is ``und`` with score 0; so is everything when no
 labelled document exists; ties go to the smaller language name, equal frequencies to the smaller
@@ -31,8 +33,10 @@ from sonaris.llm.bpe import slices
 #: Length of a profile, and labelled documents of a language that it is learned from (about).
 PROFILE = 300
 LEARN_DOCS = 2000
-#: Scores below this are rejected by keep_known_languages.
-MIN_SCORE = 0.05
+#: Scores are rejected below MARGIN of this quantile of the scores of a language's labelled documents.
+LOWEST, MARGIN = 0.01, 0.7
+#: The least limit: words of random letters score up to 0.22 from 20 words on.
+MIN_SCORE = 0.25
 UNKNOWN = "und"
 CHUNK_BYTES = 1 << 20
 MAX_ROWS = 60_000
@@ -128,17 +132,25 @@ def _parts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
                 yield b.slice(at, MAX_ROWS)
 
 
-def learn_profiles(df: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", size: int = PROFILE, learn_docs: int = LEARN_DOCS) -> Profiles:
-    """Profiles from the labelled documents that aren't held out. What is collected is bounded by
-    the number of languages times the profile's length."""
+def _labelled(df: DataFrame, key: str, text: str, lang: str, learn_docs: int) -> DataFrame | None:
+    """(key, lang, text) of the documents that are learned from; None if no document is labelled."""
     known = df.where(~held_out(key) & F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     totals = known.groupBy("lang").count().collect()  # one number for each language
     if not totals:
-        return Profiles([], size)
+        return None
     chance = F.create_map(*[F.lit(x) for r in totals for x in (r.lang, min(1.0, learn_docs / r["count"]))])
     draw = F.pmod(F.xxhash64("key", F.lit("profile")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.where(draw < F.element_at(chance, F.col("lang"))).select("lang", "text")
+    return known.where(draw < F.element_at(chance, F.col("lang")))
+
+
+def learn_profiles(df: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", size: int = PROFILE, learn_docs: int = LEARN_DOCS) -> Profiles:
+    """Profiles from the labelled documents that aren't held out. What is collected is bounded by
+    the number of languages times the profile's length."""
+    chosen = _labelled(df, key, text, lang, learn_docs)
+    return _profiles(chosen, size) if chosen is not None else Profiles([], size)
+
 
+def _profiles(chosen: DataFrame, size: int) -> Profiles:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches, "text"):
             names = np.array(b.column("lang").to_pylist(), object)
@@ -150,7 +162,7 @@ def learn_profiles(df: DataFrame, *, key: str = "doc_id", text: str = "text", la
                     sums = np.bincount(back, weights=counts).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(own.astype(np.int64)), pa.array(sums)], ["lang", "gram", "n"])
 
-    sums = chosen.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = chosen.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     rows = sums.withColumn("rank", rank).where(F.col("rank") <= size).collect()
     return Profiles([(r.lang, r.gram, r["rank"] - 1) for r in rows], size)
@@ -172,7 +184,23 @@ def identify_language(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     return frame.mapInArrow(run, fields)
 
 
-def keep_known_languages(df: DataFrame, *, min_score: float = MIN_SCORE, **options) -> DataFrame:
-    """df without the documents whose language is unknown or scored below min_score."""
-    judged = identify_language(df, **options)
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*df.columns)
+def _limits(chosen: DataFrame, profiles: Profiles) -> dict[str, float]:
+    """Each language's least score, from the documents labelled with it and found to be of it."""
+    judged = identify_language(chosen, key="key", profiles=profiles).where("lang = lang_pred")
+    rows = judged.groupBy("lang").agg(F.percentile("score", F.lit(LOWEST)).alias("low")).collect()  # one number for each language
+    return {r.lang: max(MIN_SCORE, MARGIN * r.low) for r in rows}
+
+
+def keep_known_languages(df: DataFrame, *, min_score: float | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", size: int = PROFILE, learn_docs: int = LEARN_DOCS, profiles: Profiles | None = None) -> DataFrame:
+    """df without the documents whose language is unknown or scored below min_score, by default below the
+    limit of the language that they are given."""
+    limit = F.lit(MIN_SCORE if min_score is None else min_score)
+    if min_score is None or profiles is None:
+        chosen = _labelled(df, key, text, lang, learn_docs)
+        profiles = profiles or (_profiles(chosen, size) if chosen is not None else Profiles([], size))
+        if min_score is None and chosen is not None:
+            found = _limits(chosen, profiles)
+            if found:
+                limit = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for item in sorted(found.items()) for x in item]), F.col("lang_pred")), limit)
+    judged = identify_language(df, key=key, text=text, lang=lang, size=size, learn_docs=learn_docs, profiles=profiles)
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= limit)).select(*df.columns)

@@ -1,6 +1,7 @@
 """Main text, language, quality rules and chats."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -143,6 +144,19 @@ def test_language_edges(spark):
     assert langid.identify_language(df.limit(0)).count() == 0
 
 
+def test_gibberish_and_languages_without_a_profile_go(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("length(text) > 200")
+    docs = docs.withColumn("spanish", F.col("lang") == "es").withColumn("lang", F.when(F.col("lang") != "es", F.col("lang")))
+    planted = spark.createDataFrame([(1_000_000 + i, words(n), None, None) for i, n in enumerate([20, 200, 2000] * 5)], "doc_id long, text string, lang string, spanish boolean")
+    kept = langid.keep_known_languages(docs.unionByName(planted)).cache()
+    assert kept.where("doc_id >= 1000000").count() == 0
+    assert kept.where("spanish").count() <= 0.05 * docs.where("spanish").count()
+    assert kept.where("NOT spanish").count() == docs.where("NOT spanish").count()
+    assert langid.keep_known_languages(planted, min_score=0.05).count() == 0  # nothing is labelled
+
+
 # -- quality ---------------------------------------------------------------------------------------
 
 
