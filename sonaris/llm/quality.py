@@ -4,8 +4,10 @@ Lines are normalised (A-Z lower-cased, words joined by single spaces) and hashed
 distinct documents that hold a line are counted, where copies of one text count once, so that a
 copied document is left to near-duplicate removal.  A line is *frequent* when its count is above
 ``min_docs`` and above ``share`` of the host's distinct documents.  Frequent lines are removed, and a
-document is *depleted*, so rejected, when fewer than ``left`` of its words remain.  Both limits are
-relative to the host, so verdicts do not change with the size of the corpus alone.
+document is *depleted*, so rejected, when fewer than ``left`` of its words remain.  ``share`` is relative
+to the host, ``min_docs`` is not: it alone decides for hosts of fewer than ``min_docs / share`` distinct
+documents (200 by default), and a host of up to ``min_docs`` never loses a line.  In a large host a line
+of many documents stays as long as they are no more than ``share`` of them.
 
 Edge cases: null text counts as empty and fails the base rules (n_words < 50); a null host is a host
 of its own; rows keep their doc_id whatever it is, and repeated rows get equal verdicts; an empty
