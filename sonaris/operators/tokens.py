@@ -11,6 +11,8 @@ order, 321 in all.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -190,17 +192,45 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
+#: Places whose numbers come from one digest, as powers of two, and hexadecimal digits of a place.
+PLACES_BITS, PLACE_DIGITS = 2, 16
+
+
 def ngram_replace(df: DataFrame, *, key: str = "seq_id", tokens: str = "tokens", prob_single: float = 0.1, prob_ngram: float = 0.1, max_ngram: int = 5, value: int = MASK, seed: int = 0, out: str = "masked") -> DataFrame:
-    """Replaces single tokens, and n-grams of 2 to max_ngram tokens from chosen starts on, cut at the end."""
-    at = lambda kind, i: uniform(F.lit(seed), F.col(key), F.lit(kind), i)
-    length = lambda i: F.floor(at("length", i) * (max_ngram - 1)).cast("int") + 2
+    """Replaces single tokens, and n-grams of 2 to max_ngram tokens from chosen starts on, cut at the end.
+
+    Four places share the SHA-256 of seed/key/number of the four: each has 16 of its digits, six for the
+    single token, six for the start of an n-gram and four for its length, so equal keys and seeds give equal
+    masks. Where the n-gram from each place ends is worked out once; a place is covered if one of the
+    max_ngram places up to it reaches beyond it."""
+    digest = lambda b: F.sha2(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string"), b.cast("string")).cast("binary"), 256)
+    blocks = F.transform(F.sequence(F.lit(0), F.shiftright(F.size(tokens), PLACES_BITS)), digest)
+    digits = lambda d, i, skip, n: F.substring(F.get(d, F.shiftright(i, PLACES_BITS)), i.bitwiseAND((1 << PLACES_BITS) - 1) * PLACE_DIGITS + skip + 1, F.lit(n))
+    below = lambda x, prob: x < F.lit(_bound(prob, 6))
+
+    def length(d: Column, i: Column) -> Column:
+        return F.shiftright(F.conv(digits(d, i, 12, 4), 16, 10).cast("int") * (max_ngram - 1), 16) + 2
+
+    def masked(d: Column) -> Column:
+        single = lambda i: below(digits(d, i, 0, 6), prob_single)
+        if max_ngram < 2:
+            return F.transform(tokens, lambda t, i: F.when(single(i), F.lit(value)).otherwise(t))
+        reach = F.transform(tokens, lambda t, i: F.when(below(digits(d, i, 6, 6), prob_ngram), i + length(d, i)).otherwise(F.lit(0)))
+        last = lambda ends, i: F.greatest(*[F.get(ends, i - k) for k in range(max_ngram)])
+        return _bind(reach, lambda ends: F.transform(tokens, lambda t, i: F.when((last(ends, i) > i) | single(i), F.lit(value)).otherwise(t)))
+
+    return df.withColumn(out, _bind(blocks, masked))
+
+
+def _bound(prob: float, digits: int) -> str:
+    """The hexadecimal digits below which those of a place stand for a number below prob."""
+    n = math.ceil(prob * 16**digits)
+    return f"{max(n, 0):0{digits}x}" if n < 16**digits else "g"
 
-    def one(t: Column, i: Column) -> Column:
-        starts = F.sequence(F.greatest(F.lit(0), i - (max_ngram - 1)), i)
-        covered = F.exists(starts, lambda j: (at("ngram", j) < prob_ngram) & (j + length(j) > i)) if max_ngram >= 2 else F.lit(False)
-        return F.when((at("single", i) < prob_single) | covered, F.lit(value)).otherwise(t)
 
-    return df.withColumn(out, F.transform(tokens, one))
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once a row: an array of one gives it a name."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def sort_by_length(df: DataFrame, *, tokens: str = "tokens", partitions: int | None = None, tie: str | None = None) -> DataFrame:

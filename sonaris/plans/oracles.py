@@ -45,30 +45,29 @@ r AS (SELECT *, (score - min(score) OVER w) / greatest(max(score) OVER w - min(s
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    all_rows, first12 = _v("true"), _v("vec_id < 12")
-    out["cosine_topk"] = _topk(first12, all_rows, 16)
-    out["dot_topk"] = _topk(first12, all_rows, 16, "round(list_dot_product(q.v, c.v), 12)")
+    all_rows, due, labelled = _v("true"), _v("vec_id % 20 = 0"), "SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings"
+    out["cosine_topk"] = _topk(due, all_rows, 16)
+    out["dot_topk"] = _topk(due, all_rows, 16, "round(list_dot_product(q.v, c.v), 12)")
     out["knn_self"] = _topk(all_rows, all_rows, 10, where="q.id <> c.id")
-    out["knn_pairwise"] = _topk(_v("label = 0"), _v("label <> 0"), 5)
+    out["knn_pairwise"] = _topk(labelled, labelled, 5, where="q.label <> c.label")
     out["variant_ranked_matches"] = f"""
-        WITH t AS (SELECT q.id AS query_id, c.id AS corpus_id, round(list_cosine_similarity(q.v, c.v), 12) AS sim FROM ({first12}) q JOIN ({all_rows}) c ON true),
-        k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, corpus_id) AS rank FROM t QUALIFY rank <= 16),
-        d AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY corpus_id ORDER BY sim DESC, query_id, rank) = 1)
-        SELECT CAST(row_number() OVER (ORDER BY sim DESC, query_id, rank) - 1 AS INTEGER) AS place, 'piece-' || corpus_id AS name, CAST(query_id - 6 AS INTEGER) AS variant, {_r('sim * 100')} AS score FROM d"""
+        WITH t AS (SELECT q.id - q.id % 20 AS piece, q.id % 20 AS query_id, c.id AS corpus_id, round(list_cosine_similarity(q.v, c.v), 12) AS sim FROM ({_v('vec_id % 20 < 12')}) q JOIN ({all_rows}) c ON true),
+        k AS (SELECT *, row_number() OVER (PARTITION BY piece, query_id ORDER BY sim DESC, corpus_id) AS rank FROM t QUALIFY rank <= 16),
+        d AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY piece, corpus_id ORDER BY sim DESC, query_id, rank) = 1)
+        SELECT piece, CAST(row_number() OVER (PARTITION BY piece ORDER BY sim DESC, query_id, rank) - 1 AS INTEGER) AS place, 'piece-' || corpus_id AS name, CAST(query_id - 6 AS INTEGER) AS variant, {_r('sim * 100')} AS score FROM d"""
     out["underfull_topk"] = f"""
-        WITH t AS ({_topk(_v('vec_id < 2'), _v('label = 0 AND vec_id < 200'), 64)}),
-        s AS (SELECT q AS query_id, CAST(r AS INTEGER) AS rank FROM range(0, 2) a(q), range(1, 65) b(r))
+        WITH t AS ({_topk(due, all_rows, 64)}), s AS (SELECT vec_id AS query_id, CAST(r AS INTEGER) AS rank FROM embeddings, range(1, 65) b(r) WHERE vec_id % 20 = 0)
         SELECT s.query_id, s.rank, coalesce(corpus_id, -1) AS corpus_id, sim FROM s LEFT JOIN t USING (query_id, rank)"""
     out["heatmap"] = f"""
-        WITH t AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS sim FROM ({_v('vec_id < 60')}) a JOIN ({_v('vec_id < 60')}) b ON true),
-        g AS (SELECT *, sign(sim) * pow(abs(sim), 0.55) AS bent FROM t),
-        e AS (SELECT quantile_cont(bent, 0.02) AS lo, quantile_cont(bent, 0.98) AS hi FROM g)
+        WITH t AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS sim FROM ({due}) a JOIN ({all_rows}) b ON true),
+        g AS (SELECT *, sign(sim) * pow(abs(sim), 0.55) AS bent FROM t), e AS (SELECT quantile_cont(bent, 0.02) AS lo, quantile_cont(bent, 0.98) AS hi FROM g)
         SELECT a, b, {_r('sim')} AS sim, {_r('greatest(lo, least(hi, bent))')} AS shown FROM g, e"""
     out["retrieval_quality"] = f"""
-        WITH t AS ({_topk(_v('vec_id < 100'), _v('vec_id >= 250 AND vec_id < 350'), 5)}),
-        h AS (SELECT q AS query_id, (SELECT rank FROM t WHERE t.query_id = q AND t.corpus_id = q + 250) AS hit FROM range(0, 100) r(q)),
-        f AS (SELECT query_id, corpus_id AS pred FROM t WHERE rank = 1),
-        c AS (SELECT query_id + 250 AS c, CAST(query_id + 250 = pred AS INTEGER) AS tp FROM f UNION ALL SELECT pred, 0 FROM f),
+        WITH t AS ({_topk(due, all_rows, 5, where='q.id <> c.id')}), n AS (SELECT count(*) AS n FROM embeddings),
+        g AS (SELECT vec_id AS query_id, (vec_id + 250) % n AS own FROM embeddings, n WHERE vec_id % 20 = 0),
+        h AS (SELECT g.query_id, rank AS hit FROM g LEFT JOIN t ON t.query_id = g.query_id AND t.corpus_id = own),
+        f AS (SELECT query_id, own, corpus_id AS pred FROM g JOIN t USING (query_id) WHERE rank = 1),
+        c AS (SELECT own AS c, CAST(own = pred AS INTEGER) AS tp FROM f UNION ALL SELECT pred, 0 FROM f),
         m AS (SELECT avg(s) AS macro_f1 FROM (SELECT c, 2 * sum(tp) / count(*) AS s FROM c GROUP BY c))
         SELECT {_r('avg(CASE WHEN hit = 1 THEN 1.0 ELSE 0.0 END)')} AS r_at_1, {_r('avg(CASE WHEN hit <= 5 THEN 1.0 ELSE 0.0 END)')} AS r_at_k, {_r('avg(coalesce(1.0 / hit, 0.0))')} AS mrr, {_r('any_value(macro_f1)')} AS macro_f1 FROM h, m"""
     out["mean_pool"] = f"WITH {_SEQ} SELECT seq_id, CAST(dim AS INTEGER) AS dim, {_r('sum(CASE WHEN m THEN x ELSE 0 END) / greatest(sum(CAST(m AS INTEGER)), 1e-9)')} AS value FROM u GROUP BY ALL"
@@ -81,16 +80,15 @@ def oracle_sql() -> dict[str, str]:
         WITH {_SEQ}, n AS (SELECT *, m AND token IN (0, 37, 74) AS own, sum(CAST(m AND token IN (0, 37, 74) AS INTEGER)) OVER (PARTITION BY seq_id) AS any_own FROM u)
         SELECT seq_id, CAST(dim AS INTEGER) AS dim, {_r('sum(CASE WHEN (CASE WHEN any_own > 0 THEN own ELSE m END) THEN x ELSE 0 END) / greatest(sum(CAST(CASE WHEN any_own > 0 THEN own ELSE m END AS INTEGER)), 1e-9)')} AS value FROM n GROUP BY ALL"""
     out["pad_mask"] = """
-        WITH t AS (SELECT conv_id, turn, list_transform(string_split(coalesce(text, ''), ' '), lambda w: length(w)) AS w FROM conversations),
-        x AS (SELECT *, least(max(len(w)) OVER (), 40) AS n FROM t)
-        SELECT conv_id, turn, array_to_string(list_transform(range(1, CAST(n AS BIGINT) + 1), lambda i: CASE WHEN i <= len(w) THEN w[i] ELSE 719 END), ' ') AS padded, CAST(least(len(w), n) AS INTEGER) AS n_valid FROM x"""
+        WITH t AS (SELECT conv_id, turn, list_transform(string_split(coalesce(text, ''), ' '), lambda w: length(w)) AS w FROM conversations), x AS (SELECT *, max(len(w)) OVER () AS n FROM t)
+        SELECT conv_id, turn, array_to_string(list_transform(range(1, CAST(n AS BIGINT) + 1), lambda i: CASE WHEN i <= len(w) THEN w[i] ELSE 719 END), ' ') AS padded, CAST(len(w) AS INTEGER) AS n_valid FROM x"""
     out["ngram_mask"] = """
         WITH t AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), ' ')) AS w, generate_subscripts(string_split(coalesce(text, ''), ' '), 1) - 1 AS i FROM documents),
-        u AS (SELECT doc_id, i, length(w) AS n, ('0x' || left(md5('0/' || doc_id || '/single/' || i), 8))::UBIGINT / 4294967296 AS us, ('0x' || left(md5('0/' || doc_id || '/ngram/' || i), 8))::UBIGINT / 4294967296 AS un,
-                     floor(('0x' || left(md5('0/' || doc_id || '/length/' || i), 8))::UBIGINT / 4294967296 * 4) + 2 AS l FROM t),
+        g AS (SELECT *, substr(sha256('0/' || doc_id || '/' || (i // 4)), CAST(i % 4 * 16 + 1 AS BIGINT), 16) AS h FROM t),
+        u AS (SELECT doc_id, i, length(w) AS n, ('0x' || left(h, 6))::UBIGINT / 16777216 AS us, ('0x' || substr(h, 7, 6))::UBIGINT / 16777216 AS un, ('0x' || substr(h, 13, 4))::UBIGINT * 4 // 65536 + 2 AS l FROM g),
         c AS (SELECT doc_id, i, CASE WHEN us < 0.1 OR coalesce(max(CASE WHEN un < 0.1 THEN i + l END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) > i, false) THEN 718 ELSE n END AS k FROM u)
         SELECT doc_id, CAST(sum(CAST(k = 718 AS INTEGER)) AS INTEGER) AS n_masked, md5(string_agg(CAST(k AS VARCHAR), ' ' ORDER BY i)) AS digest FROM c GROUP BY doc_id"""
-    out["char_tokens"] = "SELECT conv_id, turn, array_to_string(list_transform(list_filter(string_split(coalesce(text, ''), ''), lambda c: octet_length(encode(c)) = 1), lambda c: ascii(c))[:64], ' ') AS tokens FROM conversations"
+    out["char_tokens"] = "SELECT conv_id, turn, array_to_string(list_transform(list_filter(string_split(coalesce(text, ''), ''), lambda c: octet_length(encode(c)) = 1), lambda c: ascii(c)), ' ') AS tokens FROM conversations"
     out["delta_encode"] = f"WITH {_EV} SELECT event_id, track, row_number() OVER w - 1 AS seq, time - lag(time, 1, 0) OVER w AS delta FROM ev WINDOW w AS (PARTITION BY file_id, track ORDER BY time, seq)"
     out["absolute_times"] = f"WITH {_EV} SELECT event_id, time FROM ev"
     out["fifo_note_pairs"] = f"""
@@ -113,7 +111,7 @@ def oracle_sql() -> dict[str, str]:
         o AS (SELECT track, coalesce(sum(fin) OVER (ORDER BY track ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM e)
         SELECT event_id, CAST(time + shift AS BIGINT) AS time FROM t JOIN o USING (track)"""
     out["mix_scores"] = f"WITH {_SC} SELECT event_id, 0 AS track, row_number() OVER (PARTITION BY file_id ORDER BY track, seq) - 1 AS seq FROM sc"
-    out["merge_channels"] = f"WITH {_SC} SELECT event_id, CAST(CASE WHEN track >= 6 THEN [6, 7, 8, 10, 11, 12][track % 6 + 1] ELSE track % 6 END AS INTEGER) AS channel FROM sc WHERE track < 12"
+    out["merge_channels"] = "SELECT event_id, CAST([0, 1, 2, 3, 4, 5, 6, 7, 8, 10][user_id % 10 + 1] AS INTEGER) AS channel FROM events"
     out["tempo_to_ms"] = f"""
         WITH {_SC}, t AS (SELECT * REPLACE (time - min(time) OVER (PARTITION BY file_id) AS time) FROM sc WHERE event <> 'patch_change'),
         c AS (SELECT file_id, time, arg_max(250000 + v * 1000, (track, seq)) AS us FROM t WHERE event = 'set_tempo' GROUP BY file_id, time),
@@ -162,6 +160,6 @@ def oracle_sql() -> dict[str, str]:
     out["class_weights"] = f"""WITH c AS (SELECT CAST(k AS INTEGER) AS label, (SELECT count(*) FROM embeddings WHERE label = k) AS n FROM range(0, 12) r(k)), w AS (SELECT *, 1 / greatest(n, 1) AS x FROM c)
         SELECT label, n, {_r('least(x / min(x) OVER (), 50.0)')} AS weight FROM w"""
     out["focal_loss"] = f"WITH {_LG} SELECT {_r('avg(pow(1 - p, 2) * -ln(p))')} AS loss FROM p JOIN embeddings e USING (vec_id) WHERE i = label"
-    out["unit_vectors"] = f"""WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE * 3 + 1 AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings WHERE vec_id < 100)
+    out["unit_vectors"] = f"""WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE * 3 + 1 AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
         SELECT vec_id, CAST(dim AS INTEGER) AS dim, {_r('x / greatest(sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 1e-12)')} AS value FROM u"""
     return out

@@ -129,7 +129,7 @@ def pad_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngram_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Random n-gram masking of the documents' word lengths (reproducible from MD5)."""
+    """Random n-gram masking of the documents' word lengths (reproducible from SHA-256)."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), " "), lambda w: F.length(w)).alias("tokens"))
     out = tokens.ngram_replace(rows, key="doc_id")
     return out.select("doc_id", F.size(F.filter("masked", lambda t: t == tokens.MASK)).alias("n_masked"), F.md5(F.array_join("masked", " ").cast("binary")).alias("digest"))

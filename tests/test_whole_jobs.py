@@ -1,51 +1,9 @@
-"""Registered queries over whole tables, against SQL that leaves nothing out."""
+"""Options of the operators whose registered queries cover whole tables."""
 
 import numpy as np
 import pytest
 
 from sonaris.operators import events, pooling, search, tokens
-from sonaris.plans import queries
-from sonaris.plans.oracles import _r, _topk, _v
-
-ALL, DUE = _v("true"), _v("vec_id % 20 = 0")
-
-SQL = {
-    "cosine_topk": _topk(DUE, ALL, 16),
-    "dot_topk": _topk(DUE, ALL, 16, "round(list_dot_product(q.v, c.v), 12)"),
-    "knn_pairwise": _topk(_v("true").replace("SELECT", "SELECT label,"), _v("true").replace("SELECT", "SELECT label,"), 5, where="q.label <> c.label"),
-    "variant_ranked_matches": f"""
-        WITH t AS (SELECT q.id - q.id % 20 AS piece, q.id % 20 AS query_id, c.id AS corpus_id, round(list_cosine_similarity(q.v, c.v), 12) AS sim FROM ({_v('vec_id % 20 < 12')}) q JOIN ({ALL}) c ON true),
-        k AS (SELECT *, row_number() OVER (PARTITION BY piece, query_id ORDER BY sim DESC, corpus_id) AS rank FROM t QUALIFY rank <= 16),
-        d AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY piece, corpus_id ORDER BY sim DESC, query_id, rank) = 1)
-        SELECT piece, CAST(row_number() OVER (PARTITION BY piece ORDER BY sim DESC, query_id, rank) - 1 AS INTEGER) AS place, 'piece-' || corpus_id AS name, CAST(query_id - 6 AS INTEGER) AS variant, {_r('sim * 100')} AS score FROM d""",
-    "pad_mask": """
-        WITH t AS (SELECT conv_id, turn, list_transform(string_split(coalesce(text, ''), ' '), lambda w: length(w)) AS w FROM conversations), x AS (SELECT *, max(len(w)) OVER () AS n FROM t)
-        SELECT conv_id, turn, array_to_string(list_transform(range(1, CAST(n AS BIGINT) + 1), lambda i: CASE WHEN i <= len(w) THEN w[i] ELSE 719 END), ' ') AS padded, CAST(len(w) AS INTEGER) AS n_valid FROM x""",
-    "char_tokens": "SELECT conv_id, turn, array_to_string(list_transform(list_filter(string_split(coalesce(text, ''), ''), lambda c: octet_length(encode(c)) = 1), lambda c: ascii(c)), ' ') AS tokens FROM conversations",
-    "retrieval_quality": f"""
-        WITH t AS ({_topk(DUE, ALL, 5, where='q.id <> c.id')}), n AS (SELECT count(*) AS n FROM embeddings),
-        g AS (SELECT vec_id AS query_id, (vec_id + 250) % n AS own FROM embeddings, n WHERE vec_id % 20 = 0),
-        h AS (SELECT g.query_id, rank AS hit FROM g LEFT JOIN t ON t.query_id = g.query_id AND t.corpus_id = own),
-        f AS (SELECT query_id, own, corpus_id AS pred FROM g JOIN t USING (query_id) WHERE rank = 1),
-        c AS (SELECT own AS c, CAST(own = pred AS INTEGER) AS tp FROM f UNION ALL SELECT pred, 0 FROM f),
-        m AS (SELECT avg(s) AS macro_f1 FROM (SELECT c, 2 * sum(tp) / count(*) AS s FROM c GROUP BY c))
-        SELECT {_r('avg(CASE WHEN hit = 1 THEN 1.0 ELSE 0.0 END)')} AS r_at_1, {_r('avg(CASE WHEN hit <= 5 THEN 1.0 ELSE 0.0 END)')} AS r_at_k, {_r('avg(coalesce(1.0 / hit, 0.0))')} AS mrr, {_r('any_value(macro_f1)')} AS macro_f1 FROM h, m""",
-    "merge_channels": "SELECT event_id, CAST([0, 1, 2, 3, 4, 5, 6, 7, 8, 10][user_id % 10 + 1] AS INTEGER) AS channel FROM events",
-    "unit_vectors": f"""WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE * 3 + 1 AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
-        SELECT vec_id, CAST(dim AS INTEGER) AS dim, {_r('x / greatest(sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 1e-12)')} AS value FROM u""",
-    "underfull_topk": f"""
-        WITH t AS ({_topk(DUE, ALL, 64)}), s AS (SELECT vec_id AS query_id, CAST(r AS INTEGER) AS rank FROM embeddings, range(1, 65) b(r) WHERE vec_id % 20 = 0)
-        SELECT s.query_id, s.rank, coalesce(corpus_id, -1) AS corpus_id, sim FROM s LEFT JOIN t USING (query_id, rank)""",
-    "heatmap": f"""
-        WITH t AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS sim FROM ({DUE}) a JOIN ({ALL}) b ON true),
-        g AS (SELECT *, sign(sim) * pow(abs(sim), 0.55) AS bent FROM t), e AS (SELECT quantile_cont(bent, 0.02) AS lo, quantile_cont(bent, 0.98) AS hi FROM g)
-        SELECT a, b, {_r('sim')} AS sim, {_r('greatest(lo, least(hi, bent))')} AS shown FROM g, e""",
-}
-
-
-@pytest.mark.parametrize("name", sorted(SQL))
-def test_whole(spark, sf, same, name):
-    same(queries.queries()[name](spark, sf), SQL[name])
 
 
 @pytest.mark.parametrize("limit", [1000, 3])
