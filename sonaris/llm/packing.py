@@ -11,7 +11,8 @@ permanently fixes sets that dominate every other set holding one of their items:
 
 The rest is packed best-fit decreasing, also on counts.  The resulting *plan* says for every length
 which ranks go to which run of sequences at which offset.  Ranks are numbered in Spark within
-(length, hash part), so that a length that a third of all items share isn't numbered by one task.
+(length, hash part), so that a length that a third of all items share isn't numbered by one task, and
+a worker finds the row of a rank in the plan by bisection.
 
 Edge cases: null text is empty and becomes one piece with the end id alone; repeated rows are items of
 their own; equal items are ordered by key, piece and checksum; lengths must be 1 to capacity (others
@@ -34,6 +35,8 @@ from sonaris.llm.common import shuffle_partitions, store
 
 CAPACITY = 2048
 END_ID = 0
+#: Runs of a plan at most, as a multiple of the capacity.
+MAX_RUNS = 5
 
 Pattern = tuple[tuple[int, int], ...]
 
@@ -56,48 +59,43 @@ def reduce_instance(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, in
                 continue
             other = capacity - s
             if s == capacity:
-                fix(((s, 1),), int(counts[s]))
+                pattern: Pattern | None = ((s, 1),)
             elif other == s and counts[s] > 1:
-                fix(((s, 2),), int(counts[s]) // 2)
+                pattern = ((s, 2),)
             elif other != s and counts[other]:
-                fix(((s, 1), (other, 1)), int(min(counts[s], counts[other])))
+                pattern = ((s, 1), (other, 1))
             else:
                 pattern = _dominant(counts, s, capacity)
-                if pattern is None:
-                    continue
-                fix(pattern, 1)
-            changed = True
+            if pattern:
+                fix(pattern, min(int(counts[length]) // n for length, n in pattern))
+                changed = True
     return fixed
 
 
 def _dominant(counts: np.ndarray, s: int, capacity: int) -> Pattern | None:
-    """The set with one item of length s that dominates all others, where a rule shows one."""
+    """The set with one item of length s that dominates all others, where a rule shows one.
+
+    The rules compare the longest item that fits with sums of shorter ones. Taking the set's own items
+    away leaves fewer of those, so the set dominates again until one of its lengths is used up."""
     left = capacity - s
-    counts[s] -= 1  # the others that may join it
-    try:
-        fits = np.flatnonzero(counts[: left + 1])
-        if not len(fits):
-            return ((s, 1),)
-        least = np.repeat(fits[:3], np.minimum(counts[fits[:3]], 3))[:3]
-        longest = int(fits[-1])
-        pair = ((s, 1), (longest, 1)) if longest != s else ((s, 2),)
-        if len(least) < 2 or least[0] + least[1] > left:
+    have = counts[: left + 1].copy()  # the others that may join it
+    if s <= left:
+        have[s] -= 1
+    fits = np.flatnonzero(have)
+    if not len(fits):
+        return ((s, 1),)
+    longest = int(fits[-1])
+    pair = ((s, 1), (longest, 1)) if longest != s else ((s, 2),)
+    least = np.repeat(fits[:3], np.minimum(have[fits[:3]], 3))[:3]
+    if len(least) < 2 or least[0] + least[1] > left:
+        return pair
+    if len(least) < 3 or least.sum() > left:
+        below = np.maximum.accumulate(np.where(have > 0, np.arange(left + 1), 0))  # the longest up to each length
+        most = np.minimum(fits, left - fits)
+        second = np.where((most == fits) & (have[fits] < 2), below[np.maximum(most - 1, 0)], below[most])
+        if longest >= (fits + second)[second > 0].max(initial=0):
             return pair
-        if len(least) < 3 or least[:3].sum() > left:
-            best = 0
-            for a in fits[::-1].tolist():
-                if 2 * a <= best:
-                    break
-                b = min(a, left - a)
-                while b > 0 and (not counts[b] or (b == a and counts[a] < 2)):
-                    b -= 1
-                if b > 0:
-                    best = max(best, a + b)
-            if longest >= best:
-                return pair
-        return None
-    finally:
-        counts[s] += 1
+    return None
 
 
 def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
@@ -134,10 +132,15 @@ def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[tuple[Pattern
 
 
 def plan_rows(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """(length, first rank, end rank, first sequence, how many in each sequence, offset of the first)."""
+    """(length, first rank, end rank, first sequence, how many in each sequence, offset of the first).
+
+    Every fixed set uses a length up (of two equal items all but one), and best fit opens at most three runs
+    for each length, so there are at most 5 * capacity runs whatever the number of items."""
     left = counts.astype(np.int64).copy()
     runs = reduce_instance(left, capacity)
     runs += best_fit_decreasing(left, capacity)
+    if len(runs) > MAX_RUNS * capacity:
+        raise RuntimeError(f"{len(runs)} runs in a plan for sequences of {capacity}")
     used, sequence, rows = np.zeros(len(counts), np.int64), 0, []
     for pattern, times in runs:
         offset = 0
@@ -149,6 +152,24 @@ def plan_rows(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, i
     return rows
 
 
+class _Plan:
+    """plan_rows in order of (length, first rank), as arrays: a worker finds an item's row by bisection."""
+
+    def __init__(self, rows: list[tuple[int, ...]], capacity: int) -> None:
+        self.shift = 62 - capacity.bit_length()
+        table = np.array(sorted(rows), np.int64).reshape(-1, 6)
+        if len(table) and table[:, 2].max() >> self.shift:
+            raise ValueError("too many items of one length")
+        self.keys = (table[:, 0] << self.shift) + table[:, 1]
+        self.first, self.sequence, self.each, self.at = (np.ascontiguousarray(table[:, i]) for i in (1, 3, 4, 5))
+
+    def place(self, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sequence, offset) of the items of these lengths and ranks."""
+        row = np.searchsorted(self.keys, (lengths << self.shift) + ranks, "right") - 1
+        own, each = ranks - self.first[row], self.each[row]
+        return self.sequence[row] + own // each, self.at[row] + own % each * lengths
+
+
 def best_fit_pack(df: DataFrame, *, length: str = "length", capacity: int = CAPACITY, order: list[str]) -> DataFrame:
     """df with sequence_id long and offset long. df is read more than once, so pass a stored one; order:
     the columns that tell items of one length apart."""
@@ -162,16 +183,22 @@ def best_fit_pack(df: DataFrame, *, length: str = "length", capacity: int = CAPA
         if r[0] is None or not 1 <= r[0] <= capacity:
             raise ValueError(f"a length of {r[0]} cannot be packed into {capacity}")
         counts[r[0]] = r.n
-    plan = spark.createDataFrame(plan_rows(counts, capacity), "__length long, __lo long, __hi long, __seq long, __each long, __at long")
+    plan = spark.sparkContext.broadcast(_Plan(plan_rows(counts, capacity), capacity))  # bounded by the capacity alone
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(length).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = sizes.select(F.col(length).alias("__l"), F.col("__part").alias("__p"), before.alias("__base"))
     own = F.row_number().over(Window.partitionBy(length, "__part").orderBy(*order)) - 1
-    ranks = frame.withColumn("__own", own).join(base, (F.col(length) == F.col("__l")) & (F.col("__part") == F.col("__p"))).withColumn("__rank", F.col("__own") + F.col("__base"))
-    # the plan has a few rows for each of at most `capacity` lengths
-    placed = ranks.join(F.broadcast(plan), (F.col(length) == F.col("__length")) & (F.col("__rank") >= F.col("__lo")) & (F.col("__rank") < F.col("__hi")))
-    i = F.col("__rank") - F.col("__lo")
-    return placed.select(*df.columns, (F.col("__seq") + F.floor(i / F.col("__each"))).cast("long").alias("sequence_id"),
-                         (F.col("__at") + F.pmod(i, F.col("__each")) * F.col(length)).cast("long").alias("offset"))
+    ranks = frame.withColumn("__own", own).join(base, (F.col(length) == F.col("__l")) & (F.col("__part") == F.col("__p")))
+    ranks = ranks.select(*df.columns, F.col(length).cast("long").alias("__length"), (F.col("__own") + F.col("__base")).cast("long").alias("__rank"))
+
+    made = [*df.columns, "sequence_id", "offset"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sequence, offset = plan.value.place(*(b.column(c).to_numpy() for c in ("__length", "__rank")))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(sequence), pa.array(offset)], made)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return ranks.mapInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
 def token_pieces(df: DataFrame, tokenizer: str | None = None, *, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:

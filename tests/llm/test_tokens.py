@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -188,6 +189,47 @@ def test_plans_cover_every_rank_once(sizes):
         assert all(a + n == b for (a, n), (b, _) in itertools.pairwise(sorted(own))) and min(own)[0] == 0 and sum(n for _, n in own) <= 30
 
 
+@given(st.lists(st.tuples(st.integers(1, 30), st.integers(1, 10**6)), max_size=12))
+@settings(max_examples=100, deadline=None)
+def test_bulk_reduction_keeps_every_item(lengths):
+    counts = np.zeros(31, np.int64)
+    for length, n in lengths:
+        counts[length] += n
+    rows = plan_rows(counts, 30)
+    got = np.zeros(31, np.int64)
+    for length, lo, hi, *_ in sorted(rows):
+        assert lo == got[length]
+        got[length] = hi
+    assert (got == counts).all()
+    if rows:
+        plan = packing._Plan(rows, 30)
+        lo, hi = np.array([(r[0], r[1]) for r in rows]).T, np.array([(r[0], r[2] - 1) for r in rows]).T
+        assert plan.place(*lo)[0].tolist() == [r[3] for r in rows] and plan.place(*lo)[1].tolist() == [r[5] for r in rows]
+        assert plan.place(*hi)[0].tolist() == [r[3] + (r[2] - r[1] - 1) // r[4] for r in rows]
+
+
+@pytest.mark.parametrize("first,kinds", [(1100, 100), (300, 1400), (1, 2048), (650, 200)])
+def test_plans_grow_with_the_lengths_not_with_the_items(first, kinds):
+    sizes = []
+    for n in (1000, 10**7, 10**10):
+        counts = np.zeros(2049, np.int64)
+        counts[first : first + kinds] = n + np.arange(kinds) % 7
+        began = time.perf_counter()
+        sizes.append(len(plan_rows(counts)))
+        assert time.perf_counter() - began < 5
+    assert max(sizes) <= 2 * min(sizes) + 100 and max(sizes) < 20 * 2048
+
+
+def test_many_items_of_few_lengths(spark):
+    df = spark.range(30_000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 1100 WHEN id % 3 = 1 THEN 1101 ELSE id % 5 + 300 END AS length")
+    got = packing.best_fit_pack(df, order=["id"]).toPandas()
+    assert len(got) == 30_000 and got.id.is_unique
+    by = got.sort_values(["sequence_id", "offset"])
+    ends = by.offset + by.length
+    assert (ends <= 2048).all() and (by.offset == ends.groupby(by.sequence_id).shift(fill_value=0)).all()
+    assert by.sequence_id.nunique() == 20_000  # no two of the long ones fit together, all others join them
+
+
 def test_packing_of_odd_tables(spark):
     random.seed(4)
     texts = [None, "", "", "same text", "same text", *(" ".join(random.choices("abcdefgh", k=random.choice([3, 40, 2047, 2048, 5000]))) for _ in range(30))]
