@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
+from html.parser import HTMLParser
 
 import pytest
 from hypothesis import given, settings
@@ -54,6 +56,157 @@ def test_broken_markup_never_raises(source):
     assert text == text.strip()
 
 
+@pytest.mark.parametrize("source,want", [
+    (f"<body><div class='legal-article'><p>{PROSE}</p><p>{PROSE}</p></div></body>", f"{PROSE}\n\n{PROSE}"),
+    (page(f"<article><p>{PROSE}</p><div class='search-results-explained'><p>{PROSE}</p></div></article>"), f"{PROSE}\n\n{PROSE}"),
+    (page(f"<article><p>{PROSE}</p><div class='share'><a href=1>Share this</a> <a href=2>now</a></div><div class=related-links><p>See also, perhaps, this.</p></div></article>"), PROSE),
+    (page(f"<form id=aspnetForm><nav><a href=x>Menu</a></nav><article><p>{PROSE}</p></article><footer>{PROSE}</footer></form>"), PROSE),
+    (page(f"<div class='page-header ad-free'><h1>T</h1><p>{PROSE}</p></div>"), f"T\n\n{PROSE}"),
+    (page(f"<article><p>{PROSE}</p></article><div id=comments><article><p>{PROSE}</p></article><article><p>{PROSE} {PROSE}</p></article></div>"), PROSE),
+    (page(f"<div class=cookie-bar><p>{PROSE}</p></div><article><p>Short, but the page's own.</p></article>"), "Short, but the page's own."),
+    (page(f"<div class=banner><p>{PROSE}</p></div>"), PROSE),  # nothing else is left
+    (page("<div class=banner><p>Buy now</p></div>"), ""),
+    (page(f"<article><p>{PROSE} <b class=alert>Mind</b> this <span class=ad>Buy</span> <a class=skip-link href=x>Skip</a></p></article>"), f"{PROSE} Mind this"),
+    (page(f'<article><p title="1 > 2">{PROSE}</p><p title=don\'t>x</p><p title="open>y</p></article>'), f"{PROSE}\n\nx\n\ny"),
+    (f"<article><p>{PROSE}</p><!-- open <p>x</p>", PROSE), (f"<article><!--><p>{PROSE}</p>", PROSE), (f"<p>{PROSE}</p><a href=", f"{PROSE}\n\n<a href="),
+    (f"<article><p>{PROSE} </é 3 <4 </p></article>", f"{PROSE} </é 3 <4"),
+])
+def test_marked_and_broken_pages(source, want):
+    assert main_text(source) == want
+
+
+@pytest.mark.parametrize("source", [
+    "<a " * 10**6, "<div>x" * 10**5, "<a b='" * 10**5, "<a b='>'" * 10**5, "<a \">\"'" * 10**5, "<a b=\">\" " * 10**5, "<script></script " * 10**5, "<!--" * 10**5, "<ul><li>x" * 50_000,
+    "<table><tr><td>x" * 30_000, "<p><button>" + "<div>" * 10**5, "<b>" * 10**5 + "</i>" * 10**5, "<div>" * 10**5 + "</a></p></li>" * 10**5, "<p class='" + "aB-" * 10**5 + "'>", "&" * 10**6, "<p " + "a=' " * 10**5 + ">",
+])
+def test_hostile_pages_take_linear_time(source):
+    began = time.perf_counter()
+    main_text(source)
+    assert time.perf_counter() - began < 5
+
+
+class Slow(HTMLParser):
+    """The scoring as its definition has it, on well-formed pages: trees of dicts, sums by recursion."""
+
+    def __init__(self, source):
+        super().__init__()
+        self.root = self.at = {"tag": "#page", "up": None, "mark": 0, "kids": [], "blocks": []}
+        self.all, self.text, self.linked = [self.root], [], 0
+        self.feed(source)
+        self.close()
+        self.end_block()
+
+    def end_block(self):
+        text = " ".join("".join(self.text).split())
+        node = self.at
+        while node["tag"] in html_text.INLINE:
+            node = node["up"]
+        if text:
+            node["blocks"].append((len(self.order), text, min(self.linked, len(text))))
+            self.order.append(text)
+        self.text, self.linked = [], 0
+
+    order = property(lambda self: self.__dict__.setdefault("_order", []))
+
+    def line(self, node):
+        return [] if node is None else [node, *self.line(node["up"])]
+
+    def handle_starttag(self, tag, attrs):
+        inline = tag in html_text.INLINE
+        if not inline:
+            self.end_block()
+        names = dict(attrs).get("class") or ""
+        words = set(names.split()) if tag in html_text.CONTAINERS else html_text.name_words(names)
+        mark = html_text.APART if tag in html_text.PARTS or words & html_text.STRONG else html_text.DOUBTFUL if words & html_text.WEAK else 0
+        if inline:
+            mark = html_text.GONE if mark == html_text.APART or (mark and tag == "a") else 0
+        node = {"tag": tag, "up": self.at, "mark": mark, "kids": [], "blocks": []}
+        self.at["kids"].append(node)
+        self.all.append(node)
+        self.at = node
+
+    def handle_endtag(self, tag):
+        if tag not in html_text.INLINE:
+            self.end_block()
+        self.at = self.at["up"]
+
+    def handle_data(self, data):
+        if all(n["mark"] != html_text.GONE for n in self.line(self.at)):
+            self.text.append(data)
+            if any(n["tag"] == "a" for n in self.line(self.at)):
+                self.linked += len(data.strip())
+
+    def below(self, node):
+        return [(node, b) for b in node["blocks"]] + [x for k in node["kids"] for x in self.below(k)]
+
+    def best(self):
+        size = lambda node, use=lambda n, b: len(b[1]): sum(use(n, b) for n, b in self.below(node))
+        prose = lambda n, b: len(b[1]) * html_text.is_prose(b[1], b[2])
+        guides = lambda node: (node["tag"] in html_text.GUIDES) + sum(map(guides, node["kids"]))
+
+        def drops(node):
+            if node["mark"] == html_text.APART:
+                return not (guides(node) and guides(node) == guides(self.root) and 2 * size(node, prose) > size(self.root, prose))
+            return node["mark"] == html_text.DOUBTFUL and (size(node, prose) < max(1, 0.2 * size(self.root, prose)) or size(node, lambda n, b: b[2]) > 0.33 * size(node))
+
+        dropped = {id(n) for n in self.all if drops(n)}
+        stays = lambda n: not any(id(x) in dropped for x in self.line(n))
+        text = {id(n): sum(len(b[1]) for m, b in self.below(n) if stays(m)) for n in self.all}
+        links = {id(n): sum(b[2] for m, b in self.below(n) if stays(m)) for n in self.all}
+
+        def points(node):
+            total = 0
+            for m, (_, t, linked) in self.below(node):
+                level = next(i for i, x in enumerate(self.line(m)) if x is node)
+                if stays(m) and level <= html_text.LEVELS:
+                    total += html_text.block_points(m["tag"], t, linked) * html_text.share(level) * (0.5 if any(x["mark"] == html_text.DOUBTFUL for x in self.line(m)) else 1)
+            return total
+
+        value = {id(n): points(n) * (1 - links[id(n)] / text[id(n)]) + html_text.CONTAINERS.get(n["tag"], 0) if text[id(n)] and n["tag"] not in html_text.INLINE else -1 for n in self.all}
+        if not text[id(self.root)]:
+            return []
+        best = max((n for n in self.all if n["tag"] not in html_text.NO_CONTAINERS), key=lambda n: value[id(n)])
+        kept, place = [best], {id(n): i for i, n in enumerate(self.all)}
+        for n in (best["up"] or {"kids": []})["kids"]:
+            if n is not best and text[id(n)] and links[id(n)] <= 0.25 * text[id(n)]:
+                title = n["tag"] == "h1" and place[id(n)] < place[id(best)]
+                if title or (n["tag"] == "p" and text[id(n)] >= 80) or value[id(n)] >= max(1, 0.2 * value[id(best)]):
+                    kept.append(n)
+
+        def shown(node):
+            menu = lambda n: n["tag"] in ("ul", "ol", "table") and links[id(n)] > 0.6 * text[id(n)] > 0
+            return (node["blocks"] if stays(node) else []) + [b for k in node["kids"] if not (menu(k) and all(k is not x for x in kept)) for b in shown(k)]
+
+        found = sorted({b for k in kept for b in shown(k)})
+        return [b[1] for b in found]
+
+
+def random_page(rng, depth=0):
+    words = lambda: " ".join(rng.choice(["word", "and,", "longer", "text.", "é"]) for _ in range(rng.choice([1, 4, 12, 30, 80])))
+    out = []
+    for _ in range(rng.randint(1, 5)):
+        tag = rng.choice(["p", "p", "p", "h1", "div", "div", "section", "article", "main", "ul", "nav", "aside", "form", "blockquote"] if depth < 5 else ["p", "h1"])
+        name = rng.choice(["", "", "", "", " class=body", " class=legal-text", " class='share related'", " class=comments", " class=ad", " class=no-ads"])
+        if tag in ("p", "h1"):
+            inner = rng.choice([words(), f"{words()} <a href=x>{words()}</a>", f"<b class=alert>{words()}</b> {words()}", f"{words()} <span class=ad>{words()}</span>", f"<a class=share>{words()}</a>"])
+        elif tag == "ul":
+            inner = "".join(f"<li>{rng.choice([words(), f'<a href=y>{words()}</a>'])}</li>" for _ in range(3))
+        else:
+            inner = rng.choice([words(), ""]) + random_page(rng, depth + 1)
+        out.append(f"<{tag}{name if tag not in html_text.CONTAINERS or rng.random() < 0.2 else ''}>{inner}</{tag}>")
+    return "".join(out)
+
+
+def test_scoring_against_its_definition():
+    rng, some = random.Random(11), 0
+    for _ in range(400):
+        source = random_page(rng)
+        got = html_text.best_blocks(html_text._Page(source))
+        assert got == Slow(source).best(), source
+        some += bool(got)
+    assert some > 300
+
+
 def test_long_pages_are_whole():
     paragraphs = [f"Paragraph {i}, {PROSE}" for i in range(5000)]
     assert main_text(page("<article>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</article>")) == "\n\n".join(paragraphs)
