@@ -1,15 +1,17 @@
-"""Nearest neighbours by shifted space-filling curves, completed exactly.
+"""Nearest neighbours by shifted space-filling curves.
 
-Several orderings of all vectors are made: each projects them onto a few random orthonormal
-directions, shifts them by a random part of their range and numbers the cells of a Hilbert curve.  A
-range partitioning sorts each ordering; a query is compared with the rows whose place in an ordering
-is within a window of its own, and the orderings' results merge and are reranked on the original
-vectors.  That gives near neighbours where the data has fewer dimensions than its vectors.
+Several orderings of all vectors are made: each projects them onto a few orthonormal directions (the
+first those of greatest variance, the others random ones), shifts them by a random part of their range and
+numbers the cells of a Hilbert curve.  A range partitioning sorts each ordering; a query is compared with
+the rows whose place in an ordering is within a window of its own, and the orderings' results merge and are
+reranked on the original vectors.  That bounds the distance of each query's k-th neighbour.
 
-Where it hasn't (uniform directions in 64 dimensions), no window short of most of the data finds 0.9
-of the neighbours, so the windows only bound each query's k-th distance, and a second pass compares
-the queries with all rows in blocks of bounded size, keeping what is within that bound.  With
-``exact=False`` the windows' result is returned as it is.
+The first ordering is then cut into blocks of neighbouring keys, and each block keeps the box of its
+projected vectors.  A projection onto orthonormal directions lengthens no distance, so a block whose box
+is farther from a query than that query's bound holds none of its neighbours: a query meets only the other
+blocks, and the result is exact.  Where the data has few dimensions most blocks are left out; where it
+has as many as its vectors (uniform directions in 64 dimensions) hardly any is, and the work grows with
+queries times rows, in tasks of bounded size.  With ``exact=False`` the windows' result is returned.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part, as queries or candidates; ties go to the smaller id; equal vectors
@@ -30,7 +32,9 @@ from pyspark.sql import functions as F
 from sonaris.llm.common import fresh, shuffle_partitions, store
 
 ORDERINGS, DIRECTIONS, BITS, WINDOW = 4, 6, 10, 128
-#: Rows of a query block and of a candidate block in the exact pass, and sampled rows for the ranges.
+#: Rows of a block with a box, boxes at most (blocks grow beyond), and the directions that a box has.
+BOX_ROWS, MAX_BOXES, BOX_DIRECTIONS = 4000, 20_000, 16
+#: Queries and rows that one comparison holds, and sampled rows for the ranges.
 QUERY_BLOCK, ROW_BLOCK, FIT_ROWS = 2000, 50_000, 5000
 SEED = 7
 
@@ -65,15 +69,22 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def _orderings(sample: np.ndarray, n: int, directions: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(projection, low, width) of each ordering; the ranges come from the sample, widened by half
-    and shifted at random, and points beyond them fall into the outermost cells."""
+def main_directions(sample: np.ndarray, n: int) -> np.ndarray:
+    """The n orthonormal directions of greatest variance, as columns."""
+    _, vectors = np.linalg.eigh(np.cov(sample.T).reshape(sample.shape[1], -1) if len(sample) > 1 else np.eye(sample.shape[1]))
+    return vectors[:, ::-1][:, :n]
+
+
+def _orderings(sample: np.ndarray, n: int, directions: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """(projection, low, width) of each ordering; cells are as wide in every direction, the widest range of the
+    sample is widened by half, ranges are shifted at random, and points beyond fall into the outermost cells."""
     out = []
     for k in range(n):
         rng = np.random.default_rng(SEED + k)
-        axes = np.linalg.qr(rng.standard_normal((sample.shape[1], min(directions, sample.shape[1]))))[0]
+        directions = min(directions, sample.shape[1])
+        axes = np.linalg.qr(rng.standard_normal((sample.shape[1], directions)))[0] if k else main_directions(sample, directions)
         p = sample @ axes
-        low, wide = p.min(0), np.maximum(np.ptp(p, axis=0), 1e-12)
+        low, wide = p.min(0), max(float(np.ptp(p, axis=0).max()), 1e-12)
         out.append((axes, low - rng.uniform(0, 0.5, len(low)) * wide, wide * 1.5))
     return out
 
@@ -131,13 +142,15 @@ def nearest_neighbours(df: DataFrame, queries: Column, *, key: str = "vec_id", v
     chance = min(1.0, 2 * FIT_ROWS / n)
     sample = rows.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 30)) < chance * (1 << 30)).select("vec").limit(FIT_ROWS).collect()
     fit = _matrix(pa.array([bytes(r.vec) for r in sample] or [bytes(8 * d)], pa.binary()), d)
-    found = store(_windows(rows, _orderings(fit, orderings, directions), d, k, window), "window-neighbours")
+    line = _line(rows, _orderings(fit, orderings, directions), d)
+    found = store(_windows(line, d, k, window), "window-neighbours")
     top = Window.partitionBy("query_id").orderBy("score", "vec_id")
     merged = found.distinct().withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
     if exact:
         bound = merged.groupBy("query_id").agg(F.max("score").alias("within"), F.count(F.lit(1)).alias("n"))
         bound = bound.select("query_id", F.when(F.col("n") < k, float("inf")).otherwise(F.col("within")).alias("within"))
-        merged = _all_blocks(rows, bound, d, n, k).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+        met = meetings(line, bound, main_directions(fit, min(BOX_DIRECTIONS, d)), d, n)
+        merged = _met_neighbours(line, met, d, n, k).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
     return merged.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -157,8 +170,9 @@ def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("query"), pa.array(vecs, pa.binary())], ["id", "query", "vec"])
 
 
-def _windows(rows: DataFrame, orderings: list, d: int, k: int, window: int) -> DataFrame:
-    """(query_id, vec_id, score): each query's k nearest within the windows of every ordering."""
+def _line(rows: DataFrame, orderings: list, d: int) -> DataFrame:
+    """(ordering, rank, asked, id, query, vec): every row's place in each ordering, those of an ordering one
+    after another, and how many queries come before it."""
     parts = shuffle_partitions(rows.sparkSession)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,18 +184,26 @@ def _windows(rows: DataFrame, orderings: list, d: int, k: int, window: int) -> D
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, o, np.int32)), pa.array(hilbert_keys(cells, BITS)), *b.columns], ["ordering", "place", *b.schema.names])
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
+        part, at, asked = TaskContext.get().partitionId(), 0, 0
         for b in batches:
-            here = pa.array(np.arange(at, at + b.num_rows))
-            at += b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part, np.int32)), here, *b.columns], ["part", "at", *b.schema.names])
+            run = np.cumsum(b.column("query").to_numpy(zero_copy_only=False).astype(np.int64))
+            before = asked + np.concatenate([[0], run[:-1]])[: b.num_rows]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part, np.int32)), pa.array(np.arange(at, at + b.num_rows)), pa.array(before), *b.columns], ["part", "at", "before", *b.schema.names])
+            at, asked = at + b.num_rows, asked + int(run[-1] if len(run) else 0)
 
     fields = "ordering int, place long, id long, query boolean, vec binary"
     line = rows.mapInArrow(keyed, fields).repartitionByRange(parts, "ordering", "place", "id").sortWithinPartitions("ordering", "place", "id")
-    line = store(line.mapInArrow(numbered, f"part int, at long, {fields}"), "curve")
-    # where each partition begins: one number for each partition of each ordering
-    sizes = line.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = line.join(sizes.select("part", "base"), "part").withColumn("rank", F.col("base") + F.col("at")).withColumn("block", F.floor(F.col("rank") / window))
+    line = store(line.mapInArrow(numbered, f"part int, at long, before long, {fields}"), "curve")
+    # where each partition begins: one row for each partition
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = line.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("query").cast("long")).alias("q"))
+    sizes = sizes.select("part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"), F.coalesce(F.sum("q").over(upto), F.lit(0)).alias("q_base"))
+    return line.join(sizes, "part").select("ordering", (F.col("base") + F.col("at")).alias("rank"), (F.col("q_base") + F.col("before")).alias("asked"), "id", "query", "vec")
+
+
+def _windows(line: DataFrame, d: int, k: int, window: int) -> DataFrame:
+    """(query_id, vec_id, score): each query's k nearest within the windows of every ordering."""
+    placed = line.withColumn("block", F.floor(F.col("rank") / window))
     asked = placed.where("query").select("block", "ordering", "rank", "id", "vec")
     near = placed.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1))).select("block", "ordering", "rank", "id", "vec")
     near = near.join(asked.select("block").distinct(), "block", "left_semi")
@@ -206,17 +228,67 @@ def _neighbours(found: list) -> pa.Table:
     return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
 
-def _all_blocks(rows: DataFrame, bound: DataFrame, d: int, n: int, k: int) -> DataFrame:
-    """Every query against every row, one task for a block of queries and a block of rows."""
-    asked = rows.where("query").join(bound, F.col("id") == F.col("query_id"), "left").select("id", "vec", F.coalesce("within", F.lit(float("inf"))).alias("within"))
-    down = -(-n // ROW_BLOCK)
-    across = max(1, -(-asked.count() // QUERY_BLOCK))
-    q = asked.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(across))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
-    c = rows.withColumn("j", F.pmod(F.xxhash64("id", F.lit("row")), F.lit(down)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))))
+def _block(n: int) -> Column:
+    """The block of a row of the first ordering."""
+    return F.floor(F.col("rank") / max(BOX_ROWS, -(-n // MAX_BOXES))).cast("int")
+
+
+def _boxes(line: DataFrame, axes: np.ndarray, d: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, low, high) of the projected rows of every block, MAX_BOXES at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                block, p = b.column("block").to_numpy(), _matrix(b.column("vec"), d) @ axes
+                own, at = np.unique(block, return_inverse=True)
+                low, high = np.full((len(own), p.shape[1]), np.inf), np.full((len(own), p.shape[1]), -np.inf)
+                np.minimum.at(low, at, p)
+                np.maximum.at(high, at, p)
+                side = np.tile(np.arange(p.shape[1], dtype=np.int32), len(own))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, p.shape[1])), pa.array(side), pa.array(low.ravel()), pa.array(high.ravel())], ["block", "side", "low", "high"])
+
+    rows = line.where("ordering = 0").select(_block(n).alias("block"), "vec").mapInArrow(run, "block int, side int, low double, high double")
+    found = rows.groupBy("block", "side").agg(F.min("low").alias("low"), F.max("high").alias("high")).toArrow()
+    order = np.lexsort((found.column("side").to_numpy(), found.column("block").to_numpy()))
+    block, low, high = (found.column(c).to_numpy()[order].reshape(-1, axes.shape[1]) for c in ("block", "low", "high"))
+    return block[:, 0], low, high
+
+
+def meetings(line: DataFrame, bound: DataFrame, axes: np.ndarray, d: int, n: int) -> DataFrame:
+    """(block, i, id, vec, within): every query, in groups i of neighbouring keys, with each block whose box is
+    within its bound. Stored."""
+    boxes = line.sparkSession.sparkContext.broadcast(_boxes(line, axes, d, n))
+    asked = line.where("ordering = 0 AND query").join(bound, F.col("id") == F.col("query_id"), "left")
+    asked = asked.select(F.floor(F.col("asked") / QUERY_BLOCK).alias("i"), "id", "vec", F.coalesce("within", F.lit(float("inf"))).alias("within"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, low, high = boxes.value
+        for whole in batches:
+            for b in (whole.slice(at, 128) for at in range(0, whole.num_rows, 128)):
+                x = _matrix(b.column("vec"), d)
+                p, square = x @ axes, np.zeros((b.num_rows, len(block)))
+                for side in range(p.shape[1]):
+                    own = p[:, side, None]
+                    square += np.maximum(np.maximum(low[:, side] - own, own - high[:, side]), 0) ** 2
+                slack = 1e-9 * (1 + (x**2).sum(1))
+                q, at = np.nonzero(square <= (b.column("within").to_numpy() ** 2 + slack)[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(block[at]), *b.take(pa.array(q)).columns], ["block", *b.schema.names])
+
+    return store(asked.mapInArrow(run, "block int, i long, id long, vec binary, within double"), "meetings")
+
+
+def _met_neighbours(line: DataFrame, met: DataFrame, d: int, n: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest of each query in every block that it meets, one comparison for a
+    group of queries and a block, or a part of one where blocks are larger than ROW_BLOCK."""
+    parts = -(-max(BOX_ROWS, -(-n // MAX_BOXES)) // ROW_BLOCK)
+    pairs = met.select("i", "block").distinct()
+    q = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    c = line.where("ordering = 0").select(_block(n).alias("block"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "id", "vec").join(pairs, "block")
 
     def compare(q: pa.Table, c: pa.Table) -> pa.Table:
         if not q.num_rows or not c.num_rows:
             return _neighbours([])
         return _neighbours([nearest(q.column("id").to_numpy(), _matrix(q.column("vec"), d), c.column("id").to_numpy(), _matrix(c.column("vec"), d), k, q.column("within").to_numpy())])
 
-    return fresh(q).groupBy("i", "j").cogroup(fresh(c.select("i", "j", "id", "vec")).groupBy("i", "j")).applyInArrow(compare, "query_id long, vec_id long, score double").distinct()
+    keys = ["i", "block", "part"]
+    return fresh(q).groupBy(*keys).cogroup(fresh(c.select(*keys, "id", "vec")).groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double").distinct()

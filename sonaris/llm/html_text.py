@@ -155,7 +155,12 @@ class _Page:
 
     def _last(self, names: Iterable[str]) -> int:
         """The place of the innermost open element of these names, -1 if there is none."""
-        return max((p[-1] for name in names if (p := self.places.get(name))), default=-1)
+        found, places = -1, self.places
+        for name in names:
+            own = places.get(name)
+            if own and own[-1] > found:
+                found = own[-1]
+        return found
 
     def _start(self, name: str, attributes: str) -> None:
         if name == "br":
@@ -166,7 +171,7 @@ class _Page:
             self._flush()
             ends, stops = (CLOSES[name], NEAR[name]) if name in CLOSES else (("p",), P_STOPS)
             i = self._last(ends)
-            if i > self._last(stops):
+            if i > 0 and i > self._last(stops):
                 self._pop_to(i)
         if name in VOID:
             return

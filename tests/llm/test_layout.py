@@ -68,8 +68,9 @@ def brute_neighbours(ids, x, asked, k):
 
 @pytest.mark.parametrize("block", [50_000, 60])
 def test_neighbours_with_ties_and_bad_rows(spark, monkeypatch, block):
-    monkeypatch.setattr(curves, "ROW_BLOCK", block)
-    monkeypatch.setattr(curves, "QUERY_BLOCK", max(5, block // 10))
+    if block < 1000:  # several boxes, larger than what is compared at once
+        for name, value in (("BOX_ROWS", block // 3), ("MAX_BOXES", 5), ("ROW_BLOCK", 25), ("QUERY_BLOCK", 5)):
+            monkeypatch.setattr(curves, name, value)
     rng = np.random.default_rng(3)
     x = rng.standard_normal((300, 8)).astype(np.float32).tolist()
     for i in range(100, 180):
@@ -104,6 +105,27 @@ def test_windows_alone_where_the_data_has_few_dimensions(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_most_blocks_are_left_out_where_the_data_has_few_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(curves, "BOX_ROWS", 40)
+    met = []
+    whole = curves.meetings
+    monkeypatch.setattr(curves, "meetings", lambda *a: met.append(whole(*a)) or met[-1])
+    rng = np.random.default_rng(6)
+    x = (rng.standard_normal((4000, 3)) @ rng.standard_normal((3, 24)) + 1e-3 * rng.standard_normal((4000, 24))).astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in nearest_neighbours(df, F.col("vec_id") % 100 == 0).collect()}
+    x = x.astype(float)
+    assert got == {(q, r): int(j) for q in range(0, 4000, 100) for r, j in enumerate(np.argsort(np.sqrt(((x - x[q]) ** 2).sum(1)), kind="stable")[1:11], 1)}
+    assert met[0].count() * 40 < 0.15 * 40 * 4000  # rows compared, of queries times rows
+
+
+def test_main_directions_are_orthonormal():
+    x = np.random.default_rng(1).standard_normal((50, 6)) * [9, 1, 1, 5, 1, 1]
+    axes = curves.main_directions(x, 3)
+    assert axes.T @ axes == pytest.approx(np.eye(3)) and abs(axes[0, 0]) > 0.9 and abs(axes[3, 1]) > 0.9
+    assert curves.main_directions(x[:1], 2).shape == (6, 2)
+
+
 @pytest.mark.parametrize("d,bits", [(2, 4), (3, 3), (4, 2)])
 def test_hilbert_keys_are_a_continuous_order(d, bits):
     cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * d, indexing="ij"), -1).reshape(-1, d)
