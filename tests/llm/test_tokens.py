@@ -106,18 +106,53 @@ def test_shards_of_odd_tables(spark, tmp_path):
     got = token_store.read_token_shards(manifest).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, -3, 5, 5, 7, 7, 1 << 62]
     assert {r.doc_id for r in got if r.indexed} == {-3, 5, 7, 1 << 62}
-    for m in (r.asDict() for r in manifest.collect()):
-        found = token_store.lookup(spark, m, [5, -3, 1 << 62, 99])
-        assert 99 not in found and all(x[-1] == 1 for x in found.values())
+    found = {r.doc_id: r for r in token_store.lookup(manifest, [5, -3, 1 << 62, 99, 5, -(1 << 62)]).collect()}
+    assert found.keys() == {5, -3, 1 << 62}
+    for k, r in found.items():
+        first = next(x for x in got if x.doc_id == k)
+        assert (r.shard, r.start, r.n_tokens, r.ids) == (first.shard, first.start, first.n_tokens, first.ids)
+    assert sorted(p.name.split(".")[1] for p in (tmp_path / "s").iterdir()) == ["ids"] * manifest.count() + ["idx"] * manifest.count()
+    assert token_store.lookup(manifest, df.where("doc_id IS NULL")).count() == 0
     none = token_store.write_token_shards(df.limit(0), str(tmp_path / "e"), shards=3)
-    assert none.count() == 0 and token_store.read_token_shards(none).count() == 0
+    assert none.count() == 0 and token_store.read_token_shards(none).count() == 0 and token_store.lookup(none, [1]).count() == 0
+
+
+def test_keys_of_a_store_of_many_shards(spark, tmp_path):
+    rows = [(3 * i - 300, f"text number {i}") for i in range(200)] + [(12, "the same")] * 150 + [(None, "no key")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    manifest = token_store.write_token_shards(df, str(tmp_path), shards=7)
+    ranges = [(r.first_key, r.last_key) for r in manifest.orderBy("shard").collect()]
+    assert len(ranges) > 4 and all(a[1] <= b[0] for a, b in itertools.pairwise(ranges))
+    assert sum(a <= 12 <= b for a, b in ranges) > 1  # one key holds several shards
+    whole = token_store.read_token_shards(manifest).orderBy("start").collect()
+    assert len(whole) == len(rows) and sum(r.indexed for r in whole if r.doc_id == 12) >= 1
+    first = {}
+    for r in whole:
+        first.setdefault(r.doc_id, r)
+    got = {r.doc_id: r for r in token_store.lookup(manifest, spark.range(-400, 400).withColumnRenamed("id", "doc_id")).collect()}
+    assert got.keys() == {k for k, _ in rows if k is not None}
+    assert all((r.shard, r.start, r.ids) == (first[k].shard, first[k].start, first[k].ids) for k, r in got.items())
+    text = dict(rows)
+    assert all(np.frombuffer(r.ids, "<u4").tolist() == [*TOK.encode(text[k], add_special_tokens=False).ids, 1] for k, r in got.items() if k != 12)
+
+
+def test_shards_by_bytes(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    least = token_store.shuffle_partitions(spark)
+    assert token_store.shard_count(docs) == least
+    monkeypatch.setattr(token_store, "SHARD_BYTES", 20_000)
+    assert token_store.shard_count(docs) > least
+    assert token_store.shard_count(spark.createDataFrame(docs.rdd, docs.schema)) > least  # no size is known: texts are measured
+    monkeypatch.setattr(token_store, "MAX_SHARDS", 9)
+    assert token_store.shard_count(docs) == 9
 
 
 @given(st.sets(st.integers(-(1 << 63), (1 << 63) - 1), max_size=300))
 @settings(max_examples=60, deadline=None)
 def test_perfect_hash(keys):
     own = np.array(sorted(keys), np.int64)
-    index = token_store.ShardIndex(token_store.index_bytes(own.tolist(), np.arange(1, len(own) + 1)))
+    index = token_store.ShardIndex(token_store.index_bytes(own, np.zeros(len(own), bool), np.arange(1, len(own) + 1)))
+    assert index.documents()[0]["key"].tolist() == own.tolist() and index.documents()[1].all()
     found, offset, length = index.find(own)
     assert found.all() and length.tolist() == list(range(1, len(own) + 1)) and offset.tolist() == (np.cumsum(length) - length).tolist()
     assert sorted(index.mph.slots(own.view(np.uint64)).tolist()) == list(range(len(own)))
