@@ -17,7 +17,9 @@
    every document gets the smallest doc_id of its component.
 
 Nothing that grows with the input is collected or broadcast, no bucket has a cap, and lineage is cut
-by tables in the shared folder.
+by tables in the shared folder.  A hub's members are dealt over several tasks, to which what they meet is
+copied; joins by bucket, hub or node before that are of two stored tables each, so that adaptive execution
+(spark.sql.adaptive.skewJoin) splits the partition of a hot one.
 
 Edge cases: null and empty texts and texts without words have no shingle, stay alone and are kept;
 fewer than ``k`` words count as one shingle; repeated rows belong to one class, and rows of equal
@@ -133,24 +135,43 @@ def _band_rows(classes: DataFrame) -> DataFrame:
     return classes.select("class", "registers").mapInArrow(run, "class binary, band byte, code long")
 
 
-def _hub_pairs(classes: DataFrame) -> DataFrame:
-    """(class, hub): each member of a bucket with the bucket's hub, stored."""
+def _hub_pairs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((class, hub, part): each member of a bucket with the bucket's hub, (hub, size, parts)), both stored. A hub's
+    members are dealt over parts of about HUB_PAIRS; what is joined to them by hub is copied to each part.
+
+    Whatever is joined to all members of a bucket or hub is stored before: the join then has two plain shuffles,
+    of which adaptive execution splits the large partitions, also those of one key."""
     rows = _band_rows(classes)
-    shared = rows.groupBy("band", "code").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = store(rows.groupBy("band", "code").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared-bands")
     held = store(rows.join(shared, ["band", "code"]), "band-members")
     scores = held.groupBy("class").agg(F.sum("members").alias("score"))
     scored = held.join(scores, "class")
     # the greatest score, then the smallest class: one value that max() can take with partial sums
     hubs = scored.groupBy("band", "code").agg(F.max(F.struct("score", F.expr("decode(translate(hex(class), '0123456789ABCDEF', 'FEDCBA9876543210'), 'UTF-8')").alias("rank"), F.col("class").alias("hub"))).alias("best"))
-    pairs = held.join(hubs.select("band", "code", F.col("best.hub").alias("hub")), ["band", "code"])
-    return store(pairs.where("class != hub").select("class", "hub").distinct(), "hub-pairs")
+    hubs = store(hubs.select("band", "code", F.col("best.hub").alias("hub")), "hubs")
+    pairs = store(held.join(hubs, ["band", "code"]).where("class != hub").select("class", "hub").distinct(), "hub-members")
+    return _dealt(pairs)
+
+
+def _dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored pairs (class, hub) with part, and (hub, size, parts)."""
+    sizes = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
+    sizes = store(sizes.withColumn("parts", F.ceil(F.col("size") / HUB_PAIRS).cast("int")), "hub-sizes")
+    part = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part")
+    return store(pairs.join(sizes, "hub").select("class", "hub", part), "hub-pairs"), sizes
+
+
+def _to_parts(hubs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """A row of hubs for each part of the hub."""
+    parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    return hubs.join(sizes.select("hub", "parts"), "hub").select(*hubs.columns, parts)
 
 
-def _pruned(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs whose registers don't rule out the threshold. pairs: (class, hub, ...)."""
+def _pruned(pairs: DataFrame, sizes: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (class, hub, part) whose registers don't rule out the threshold."""
     own = classes.select("class", F.col("n_shingles").alias("n"), F.col("registers").alias("r"))
-    other = classes.select(F.col("class").alias("hub"), F.col("n_shingles").alias("m"), F.col("registers").alias("q"))
-    both = pairs.join(own, "class").join(other, "hub").select("class", "hub", "n", "m", "r", "q")
+    other = _to_parts(classes.select(F.col("class").alias("hub"), F.col("n_shingles").alias("m"), F.col("registers").alias("q")), sizes)
+    both = pairs.join(own, "class").join(other, ["hub", "part"]).select("class", "hub", "part", "n", "m", "r", "q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,15 +179,15 @@ def _pruned(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
                 n, m = (b.column(c).to_numpy(zero_copy_only=False) for c in ("n", "m"))
                 r, q = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("r", "q"))
                 ok = (estimates(r, q, n, m) >= floor_of(threshold / 100, n, m)) & (100 * np.minimum(n, m) >= threshold * np.maximum(n, m))
-                yield b.select(["class", "hub"]).filter(pa.array(ok))
+                yield b.select(["class", "hub", "part"]).filter(pa.array(ok))
 
-    return both.mapInArrow(run, "class binary, hub binary")
+    return both.mapInArrow(run, "class binary, hub binary, part int")
 
 
 def _sets(df: DataFrame, wanted: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """(class, shingles binary) of the wanted (key, class), made again from the texts, stored."""
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    rows = rows.join(wanted.select(F.col("key").alias("wanted")).distinct(), F.col("key").eqNullSafe(F.col("wanted")), "left_semi")
+    rows = rows.join(wanted.select(F.col("key").alias("wanted")), F.col("key").eqNullSafe(F.col("wanted")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -178,14 +199,11 @@ def _sets(df: DataFrame, wanted: DataFrame, key: str, text: str, k: int) -> Data
     return store(made.dropDuplicates(["class"]), "shingle-sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (class, hub) that are linked on their full sets. Pairs of one hub are dealt over
-    several tasks, to each of which the hub's set goes once."""
-    parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("parts"))
-    dealt = pairs.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-    hubs = sets.withColumnRenamed("class", "hub").withColumnRenamed("shingles", "others").join(parts, "hub")
-    hubs = hubs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    both = dealt.drop("parts").join(sets, "class").join(hubs, ["hub", "part"]).select("class", "hub", "shingles", "others")
+def _verified(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (class, hub) of (class, hub, part) that are linked on their full sets. A hub's set goes once to
+    each part that its pairs are dealt over."""
+    hubs = _to_parts(sets.select(F.col("class").alias("hub"), F.col("shingles").alias("others")), sizes)
+    both = pairs.join(sets, "class").join(hubs, ["hub", "part"]).select("class", "hub", "shingles", "others")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,21 +223,21 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of links (a, b) but the smallest of each component: that smallest one. By alternating
-    large-star and small-star steps until nothing changes. Stored after every round."""
+    """(node, component) of every node of links (a, b) but the smallest of each component: that smallest one. By
+    alternating large-star and small-star steps until every node has one neighbour, which has none itself. What a
+    step joins to the edges of a node is stored before, so that adaptive execution may split those of one node."""
     edges = store(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links")
-    before = None
     for _ in range(rounds):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a != b")
-        edges = store(small.union(low.select("a", F.col("low").alias("b"))).distinct(), "links")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        low = store(edges.groupBy("a").agg(F.min("b").alias("low")), "least")
+        above = low.select(F.col("a").alias("b"), "low")
+        if low.count() == edges.count() and edges.join(above, "b", "left_semi").isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        before = state
+        # large star: a node's greater neighbours move to its least one
+        edges = store(edges.join(above, "b", "left").select("a", F.coalesce("low", "b").alias("b")).distinct(), "large-star")
+        # small star: so do its smaller ones, and the node itself
+        low = store(edges.groupBy("a").agg(F.min("b").alias("low")), "least")
+        small = edges.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a != b")
+        edges = store(small.union(low.select("a", F.col("low").alias("b"))).distinct(), "links")
     raise RuntimeError("components did not settle")
 
 
@@ -229,14 +247,25 @@ def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
     return classes.select("class").join(found.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("component", "class").alias("component"))
 
 
-def _rest(pairs: DataFrame, labels: DataFrame, classes: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after further links: the components that they join become one."""
+    own = lambda name: labels.select(F.col("class").alias(name), F.col("component").alias(f"{name}_component"))
+    between = links.join(own("class"), "class").join(own("hub"), "hub").select(F.col("class_component").alias("a"), F.col("hub_component").alias("b"))
+    found = components(between).select(F.col("node").alias("component"), F.col("component").alias("into"))
+    return labels.join(found, "component", "left").select("class", F.coalesce("into", "component").alias("component"))
+
+
+def _rest(pairs: DataFrame, sizes: DataFrame, labels: DataFrame, classes: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     """Of the hub groups with members outside the hub's component: (pairs of small groups to verify,
     members of large groups with their blocks)."""
-    hubs = labels.select(F.col("class").alias("hub"), F.col("component").alias("home"))
-    members = pairs.join(labels, "class").join(hubs, "hub").withColumn("open", (F.col("component") != F.col("home")).cast("long"))
-    groups = members.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.sum("open").alias("n_open")).where("size > 1 and n_open > 0")
+    home = labels.select(F.col("class").alias("hub"), F.col("component").alias("home"))
+    apart = F.col("component") != F.col("home")
+    members = pairs.join(labels, "class")
+    opened = members.join(_to_parts(home, sizes), ["hub", "part"]).where(apart).groupBy("hub").agg(F.count(F.lit(1)).alias("n_open"))
+    groups = store(opened.join(sizes.where("size > 1").select("hub", "size"), "hub").join(home, "hub"), "open-hubs")
     own = classes.select("class", F.col("n_shingles").alias("n"), F.col("registers").alias("r"))
-    members = store(members.join(groups, "hub").join(own, "class").select("hub", "class", "component", "open", "n", "r", "size", "n_open"), "open-groups")
+    members = pairs.join(_to_parts(groups, sizes), ["hub", "part"]).join(labels, "class").join(own, "class")
+    members = store(members.select("hub", "class", "component", apart.cast("long").alias("open"), "n", "r", "size", "n_open"), "open-groups")
     small = members.where(F.col("size") <= SMALL_GROUP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,21 +341,21 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", k
     docs = store(_sketches(df, key, text, k), "sketches")
     classes = store(docs.where("class is not null").groupBy("class").agg(
         F.min("key").alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "classes")
-    pairs = _hub_pairs(classes)
-    near = store(_pruned(pairs, classes, threshold), "near-pairs")
+    pairs, sizes = _hub_pairs(classes)
+    near = store(_pruned(pairs, sizes, classes, threshold), "near-pairs")
     first_open = near.select("class").union(near.select("hub")).distinct()
     sets = _sets(df, classes.join(first_open, "class", "left_semi"), key, text, k)
-    links = store(_verified(near, sets, threshold), "true-pairs")
+    links = store(_verified(near, sizes, sets, threshold), "true-pairs")
     labels = store(_labels(classes, links), "labels")
-    more, large = _rest(pairs, labels, classes, threshold)
-    more = more.join(near, ["class", "hub"], "left_anti")
+    more, large = _rest(pairs, sizes, labels, classes, threshold)
+    more, more_sizes = _dealt(store(more.join(near, ["class", "hub"], "left_anti"), "new-pairs"))
     large_classes = large.select("class").distinct()
     new = more.select("class").union(more.select("hub")).union(large_classes).distinct().join(sets, "class", "left_anti")
     sets = sets.union(_sets(df, classes.join(new, "class", "left_semi"), key, text, k))
-    found = store(_verified(more, sets, threshold).union(_block_links(large, sets, threshold)), "more-pairs")
+    found = store(_verified(more, more_sizes, sets, threshold).union(_block_links(large, sets, threshold)), "more-pairs")
     if not found.isEmpty():
-        labels = store(_labels(classes, links.union(found)), "labels")
-    named = labels.join(classes.select("class", "key"), "class").groupBy("component").agg(F.min("key").alias("component_id"))
+        labels = store(_joined(labels, found), "labels")
+    named = store(labels.join(classes.select("class", "key"), "class").groupBy("component").agg(F.min("key").alias("component_id")), "names")
     named = labels.join(named, "component").select("class", "component_id")
     out = docs.join(named, "class", "left").withColumn("component_id", F.when(F.col("class").isNull(), F.col("key")).otherwise(F.col("component_id")))
     return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
