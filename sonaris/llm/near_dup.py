@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonaris.llm.bpe import slices
-from sonaris.llm.common import fresh, shuffle_partitions, store
+from sonaris.llm.common import discard, fresh, shuffle_partitions, store
 from sonaris.llm.words import CHUNK_BYTES, PLACES, U64, Words, mix
 
 REGISTERS, MANTISSA, ROWS = 128, 10, 4
@@ -150,15 +150,18 @@ def _hub_pairs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     hubs = scored.groupBy("band", "code").agg(F.max(F.struct("score", F.expr("decode(translate(hex(class), '0123456789ABCDEF', 'FEDCBA9876543210'), 'UTF-8')").alias("rank"), F.col("class").alias("hub"))).alias("best"))
     hubs = store(hubs.select("band", "code", F.col("best.hub").alias("hub")), "hubs")
     pairs = store(held.join(hubs, ["band", "code"]).where("class != hub").select("class", "hub").distinct(), "hub-members")
+    discard(shared, held, hubs)
     return _dealt(pairs)
 
 
 def _dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored pairs (class, hub) with part, and (hub, size, parts)."""
+    """Stored pairs (class, hub), discarded here, with part, and (hub, size, parts)."""
     sizes = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
     sizes = store(sizes.withColumn("parts", F.ceil(F.col("size") / HUB_PAIRS).cast("int")), "hub-sizes")
     part = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part")
-    return store(pairs.join(sizes, "hub").select("class", "hub", part), "hub-pairs"), sizes
+    dealt = store(pairs.join(sizes, "hub").select("class", "hub", part), "hub-pairs")
+    discard(pairs)
+    return dealt, sizes
 
 
 def _to_parts(hubs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -231,13 +234,16 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         low = store(edges.groupBy("a").agg(F.min("b").alias("low")), "least")
         above = low.select(F.col("a").alias("b"), "low")
         if low.count() == edges.count() and edges.join(above, "b", "left_semi").isEmpty():
+            discard(low)
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         # large star: a node's greater neighbours move to its least one
-        edges = store(edges.join(above, "b", "left").select("a", F.coalesce("low", "b").alias("b")).distinct(), "large-star")
+        large = store(edges.join(above, "b", "left").select("a", F.coalesce("low", "b").alias("b")).distinct(), "large-star")
+        discard(low, edges)
         # small star: so do its smaller ones, and the node itself
-        low = store(edges.groupBy("a").agg(F.min("b").alias("low")), "least")
-        small = edges.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a != b")
+        low = store(large.groupBy("a").agg(F.min("b").alias("low")), "least")
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a != b")
         edges = store(small.union(low.select("a", F.col("low").alias("b"))).distinct(), "links")
+        discard(low, large)
     raise RuntimeError("components did not settle")
 
 
@@ -351,11 +357,13 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", k
     more, more_sizes = _dealt(store(more.join(near, ["class", "hub"], "left_anti"), "new-pairs"))
     large_classes = large.select("class").distinct()
     new = more.select("class").union(more.select("hub")).union(large_classes).distinct().join(sets, "class", "left_anti")
-    sets = sets.union(_sets(df, classes.join(new, "class", "left_semi"), key, text, k))
-    found = store(_verified(more, more_sizes, sets, threshold).union(_block_links(large, sets, threshold)), "more-pairs")
+    more_sets = _sets(df, classes.join(new, "class", "left_semi"), key, text, k)
+    known = sets.union(more_sets)
+    found = store(_verified(more, more_sizes, known, threshold).union(_block_links(large, known, threshold)), "more-pairs")
     if not found.isEmpty():
         labels = store(_joined(labels, found), "labels")
     named = store(labels.join(classes.select("class", "key"), "class").groupBy("component").agg(F.min("key").alias("component_id")), "names")
+    discard(classes, pairs, sizes, near, sets, links, more, more_sizes, more_sets, found)
     named = labels.join(named, "component").select("class", "component_id")
     out = docs.join(named, "class", "left").withColumn("component_id", F.when(F.col("class").isNull(), F.col("key")).otherwise(F.col("component_id")))
     return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sonaris.llm import near_dup
+from sonaris.llm import common, near_dup
 from sonaris.llm.near_dup import components, estimates, near_duplicates, sketch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -101,6 +101,31 @@ def test_documents(spark, sf):
     check(spark, rows, 5)
 
 
+def test_tables_can_be_cleaned_up(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    monkeypatch.setattr(common, "_tables", set())
+    found = near_duplicates(spark.createDataFrame([(i, f"a b c d e {i // 2}") for i in range(20)], "doc_id long, text string"), k=4)
+    assert found.where("kept").count() == 10 and any(tmp_path.iterdir())
+    assert len(list(tmp_path.glob("*-*"))) == len(common._tables) < 12
+    common.clean(spark)
+    assert not any(tmp_path.glob("*-*")) and not common._tables
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session)
+    Session.sparkContext.master = "local[4]"
+    assert common.shared_dir(Session) == common.LOCAL_CHECKPOINTS
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert near_duplicates(spark.createDataFrame([(1, None)], "doc_id long, text string")).first().kept
