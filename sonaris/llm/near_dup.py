@@ -47,7 +47,7 @@ BUCKET_BITS = 7
 #: Standard deviations of the estimate below the threshold at which a pair is dropped unverified.
 SIGMAS = 6.0
 #: Groups of a hub up to this size are compared in one step; larger ones in blocks of BLOCK members.
-SMALL_GROUP, BLOCK = 64, 1000
+SMALL_GROUP, BLOCK = 64, 500
 #: Pairs with one hub that are verified by one task at most.
 HUB_PAIRS = 512
 #: HyperMinHash's constant for accidental collisions of registers (a fixed value of the paper).
@@ -359,11 +359,13 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", k
     new = more.select("class").union(more.select("hub")).union(large_classes).distinct().join(sets, "class", "left_anti")
     more_sets = _sets(df, classes.join(new, "class", "left_semi"), key, text, k)
     known = sets.union(more_sets)
-    found = store(_verified(more, more_sizes, known, threshold).union(_block_links(large, known, threshold)), "more-pairs")
+    small_links = store(_verified(more, more_sizes, known, threshold), "small-links")
+    large_links = store(_block_links(large, known, threshold), "large-links")
+    found = small_links.union(large_links)
     if not found.isEmpty():
         labels = store(_joined(labels, found), "labels")
     named = store(labels.join(classes.select("class", "key"), "class").groupBy("component").agg(F.min("key").alias("component_id")), "names")
-    discard(classes, pairs, sizes, near, sets, links, more, more_sizes, more_sets, found)
+    discard(classes, pairs, sizes, near, sets, links, more, more_sizes, more_sets, small_links, large_links)
     named = labels.join(named, "component").select("class", "component_id")
     out = docs.join(named, "class", "left").withColumn("component_id", F.when(F.col("class").isNull(), F.col("key")).otherwise(F.col("component_id")))
     return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
