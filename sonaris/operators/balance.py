@@ -51,16 +51,17 @@ def focal_loss(df: DataFrame, *, logits: str = "logits", target: str = "target",
     return rows.select(nll.alias("nll"), weight.alias("w")).agg(F.avg(F.pow(1 - F.exp(-F.col("nll")), F.lit(gamma)) * F.col("nll") * F.col("w")).alias("loss"))
 
 
-def contrastive_loss(sims: DataFrame, *, row: str = "i", col: str = "j", sim: str = "sim", scale: float = 1.0) -> DataFrame:
-    """One row: the mean cross entropy of the diagonal over rows, over columns, and half their sum. sims
-    holds every pair of a batch."""
+def contrastive_loss(sims: DataFrame, *, row: str = "i", col: str = "j", sim: str = "sim", scale: float = 1.0, batch: list[str] | None = None) -> DataFrame:
+    """One row (of each batch): the mean cross entropy of the diagonal over rows, over columns, and half their sum.
+    sims holds every pair of a batch."""
+    batch = batch or []
     x = F.col(sim) * scale
     rows = sims.withColumn("__x", x)
     for name, by in (("rows", row), ("columns", col)):
-        w = Window.partitionBy(by)
+        w = Window.partitionBy(*batch, by)
         rows = rows.withColumn(f"__top_{name}", F.max("__x").over(w))
         rows = rows.withColumn(f"loss_{name}", F.col(f"__top_{name}") + F.log(F.sum(F.exp(F.col("__x") - F.col(f"__top_{name}"))).over(w)) - F.col("__x"))
-    return rows.where(F.col(row) == F.col(col)).agg(F.avg("loss_rows").alias("loss_rows"), F.avg("loss_columns").alias("loss_columns"), ((F.avg("loss_rows") + F.avg("loss_columns")) / 2).alias("loss"))
+    return rows.where(F.col(row) == F.col(col)).groupBy(*batch).agg(F.avg("loss_rows").alias("loss_rows"), F.avg("loss_columns").alias("loss_columns"), ((F.avg("loss_rows") + F.avg("loss_columns")) / 2).alias("loss"))
 
 
 def eta(df: DataFrame, *, start: str = "start", steps: str = "steps", done: str = "done", seconds: str = "seconds_per_step", zone: str = "UTC", price: str | None = None) -> DataFrame:

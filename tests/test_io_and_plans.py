@@ -103,17 +103,32 @@ def test_streams(spark, tmp_path):
     for i in range(4):
         spark.createDataFrame(rows[i * 10 : i * 10 + 10], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     queries = spark.createDataFrame([(0, x[0].tolist())], "query_id long, vec array<double>")
-    top, mom = IncrementalTopK(queries, str(tmp_path / "top"), k=5), IncrementalMoments(vector="vec")
+    top, mom = IncrementalTopK(queries, str(tmp_path / "top"), k=5), IncrementalMoments(str(tmp_path / "mom"), vector="vec")
 
     def both(batch, batch_id):
         top(batch, batch_id)
         mom(batch, batch_id)
+        if batch_id == 1:
+            top(batch, batch_id)  # a batch that is run again changes nothing
+            mom(batch, batch_id)
 
     q = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).writeStream.foreachBatch(both).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     sims = (x @ x[0]) / np.linalg.norm(x, axis=1) / np.linalg.norm(x[0])
     assert [r.corpus_id for r in top.result(spark).orderBy("rank").collect()] == np.argsort(-sims)[:5].tolist()
-    np.testing.assert_allclose(mom.covariance(), np.cov(x.T), atol=1e-9)
+    np.testing.assert_allclose(mom.covariance(spark), np.cov(x.T), atol=1e-9)
+    assert len(list((tmp_path / "top").glob("batch=*"))) == 2
+
+
+def test_streams_go_on_in_another_process(spark, tmp_path):
+    x = np.random.default_rng(1).standard_normal((20, 4))
+    parts = [spark.createDataFrame([(i, x[i].tolist()) for i in range(a, a + 10)], "corpus_id long, vec array<double>") for a in (0, 10)]
+    queries = spark.createDataFrame([(0, x[0].tolist())], "query_id long, vec array<double>")
+    for batch_id, part in enumerate(parts):  # new objects each time
+        IncrementalTopK(queries, str(tmp_path / "top"), k=3)(part, batch_id)
+        IncrementalMoments(str(tmp_path / "mom"), vector="vec")(part, batch_id)
+    assert IncrementalTopK(queries, str(tmp_path / "top")).result(spark).orderBy("rank").first().corpus_id == 0
+    np.testing.assert_allclose(IncrementalMoments(str(tmp_path / "mom")).covariance(spark), np.cov(x.T), atol=1e-9)
 
 
 def test_windowed_stream(spark, sf, tmp_path):

@@ -2,14 +2,15 @@
 
 import pytest
 
-from sonaris.plans import oracles, queries
+from sonaris.plans import oracles, queries, step_oracles, step_queries
 
-SQL = oracles.oracle_sql()
+SQL = oracles.oracle_sql() | step_oracles.oracle_sql()
+QUERIES = queries.queries() | step_queries.queries()
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf, same, name):
-    df = queries.queries()[name](spark, sf)
+    df = QUERIES[name](spark, sf)
     if name in SQL:
         same(df, SQL[name])
     else:
