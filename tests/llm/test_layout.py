@@ -166,3 +166,16 @@ def test_pipeline_against_brute_force(spark, sf):
             assert kept[name].keys() == set(want)
     whole = corpus_pipeline.run(spark, sf)
     assert sorted(map(tuple, whole.drop("sequence_id", "offset").collect())) == sorted(map(tuple, docs.drop("sequence_id", "offset").collect()))
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Repeated rows, null ids, empty texts, another column; and no rows at all."""
+    words = [f"word{i}" for i in range(400)]
+    text = lambda i: " ".join(words[i : i + 80])
+    rows = [(i, text(i * 90), "en", "a", 1) for i in range(3)] + [(1, text(90), "en", "a", 1), (None, text(300), "en", None, None), (8, None, "en", "a", 0), (9, "", None, "a", 0), (10, text(0), "en", "b", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").withColumn("key", F.lit("clash"))
+    for name, frame in (("rows", df), ("none", df.limit(0))):
+        frame.write.parquet(str(tmp_path / name / "documents.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert {r.doc_id for r in out} == ({0, 1, 2, None} if name == "rows" else set())
+        assert all(r.offset + r.length <= 2048 for r in out)

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -52,6 +53,18 @@ def test_awkward_letters(texts):
     same_as_library(texts)
 
 
+def test_frames_of_odd_texts(spark):
+    rows = [*enumerate(EDGE), (100, None), (None, "no key"), (0, EDGE[3]), (0, EDGE[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("ids", F.lit("clash")).withColumn("key", F.lit(1))
+    coded = bpe.bpe_encode(df, decode=True)
+    got = sorted(map(str, coded.select("doc_id", "n_tokens", bpe.id_array().alias("ids"), "decoded").collect()))
+    want = [(k, TOK.encode(t or "", add_special_tokens=False).ids) for k, t in rows]
+    assert got == sorted(str(Row(doc_id=k, n_tokens=len(x), ids=x, decoded=TOK.decode(x, skip_special_tokens=False))) for k, x in want)
+    back = bpe.bpe_decode(coded.select("doc_id", "ids").union(spark.sql("SELECT 7L, CAST(NULL AS BINARY)")))
+    assert sorted(map(str, back.collect())) == sorted(str(Row(doc_id=k, decoded=TOK.decode(x, skip_special_tokens=False))) for k, x in [*want, (7, [])])
+    assert bpe.bpe_encode(df.limit(0)).count() == 0 and bpe.bpe_decode(coded.limit(0)).count() == 0
+
+
 def test_forced_pairs_are_in_no_token():
     free = bpe.forced_pairs({"ab</w>": 0, "bc": 1})
     assert not free[97, 98] and not free[98, 99] and free[98, 97] and free[99, 97]
