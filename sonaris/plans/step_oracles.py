@@ -54,7 +54,7 @@ def oracle_sql() -> dict[str, str]:
         FROM h WINDOW w AS (PARTITION BY file_id, track ORDER BY t2, seq)"""
     out["score_kinds"] = f"""WITH {_EV}, x AS (SELECT file_id, arg_min(track, (track, seq)) FILTER (kind IN ('click', 'purchase')) AS first FROM ev GROUP BY file_id)
         SELECT file_id, CASE WHEN first IS NULL THEN '' WHEN first % 2 = 0 THEN 'score' ELSE 'opus' END AS kind FROM x"""
-    out["opus_lengths"] = f"WITH {_OP} SELECT file_id, CAST(sum(delta) AS BIGINT) AS nticks FROM op GROUP BY file_id"
+    out["file_lengths"] = f"WITH {_OP} SELECT file_id, CAST(sum(delta) AS BIGINT) AS nticks FROM op GROUP BY file_id"
     out["bank_selects"] = f"""WITH {_EV}, e AS (SELECT file_id, channel, time, track, seq, CASE WHEN v % 2 = 0 THEN 0 ELSE 32 END AS a, v % 128 AS b FROM ev WHERE kind = 'error'),
         n AS (SELECT *, lead(a) OVER w AS na, lead(b) OVER w AS nb, lag(a) OVER w AS pa FROM e WINDOW w AS (PARTITION BY file_id, channel ORDER BY time, track, seq)),
         p AS (SELECT DISTINCT file_id, CASE WHEN a = 0 THEN b ELSE -1 END AS msb, CASE WHEN a = 32 THEN b WHEN na = 32 THEN nb ELSE -1 END AS lsb FROM n WHERE a = 0 OR coalesce(pa, 32) <> 0)

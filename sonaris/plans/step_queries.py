@@ -79,7 +79,8 @@ def score_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.score_type(rows.withColumn("event", name))
 
 
-def opus_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def file_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deltas of all tracks of a file added up."""
     return events.opus_length(_opus(spark, sf_dir))
 
 
@@ -299,7 +300,7 @@ def sample_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.sample_schedule(_opus(spark, sf_dir), rate=1600).select("event_id", "place", "tempo", "wait", "sample")
 
 
-QUERIES = (midi_round_trip, midi_message_counts, score_opus, mixed_tracks, common_ticks, score_kinds, opus_lengths, bank_selects, quantized_notes, piano_notes, distinct_pitch_notes, fixed_durations, transposed_notes, patched_notes,
+QUERIES = (midi_round_trip, midi_message_counts, score_opus, mixed_tracks, common_ticks, score_kinds, file_lengths, bank_selects, quantized_notes, piano_notes, distinct_pitch_notes, fixed_durations, transposed_notes, patched_notes,
            sustained_notes, chord_table, repaired_chords, token_streams, decoded_notes, corrupted_tokens, ended_sequences, matching_tokens, concat_pooled, logit_accuracy, binary_scores, generation_signals, sequence_probabilities,
            penalised_logits, biased_logits, batch_losses, share_summary, attention_received, attention_rollout, occluded_variants, occlusion, prediction_surprise, pair_synergy, valid_topk, int16_samples, sample_schedule)
 
