@@ -199,9 +199,10 @@ def numpy_pool(vecs: np.ndarray, mask: np.ndarray, tokens: np.ndarray, how: str,
 
 
 def embed_sequences(df: DataFrame, factory: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]], *, key: str = "seq_id", tokens: str = "tokens", how: str = "mean", weights=None,
-                    max_len: int = 3072, pad_id: int = PAD, batch_size: int = 64, l2: bool = False, partitions: int | None = None) -> DataFrame:
+                    max_len: int = 3072, pad_id: int = PAD, batch_size: int = 64, l2: bool = False, partitions: int | None = None, layer: int | None = None) -> DataFrame:
     """(key, embedding array<float>): factory makes, once a worker, a model of (tokens, mask) to
-    (rows, length, width) vectors, or (rows, width) if it pools itself. Sequences of like lengths share
+    (rows, length, width) vectors, or (rows, width) if it pools itself. With layer the model is also given layer=
+    and answers with that layer's hidden states; if it has none there (None), its token_embeddings(tokens) are pooled. Sequences of like lengths share
     a batch, so little is padded; with partitions they are also dealt by length."""
     rows = df.select(F.col(key).alias("key"), F.slice(F.col(tokens).cast("array<int>"), 1, max_len).alias("tokens"), F.least(F.size(tokens), F.lit(max_len)).alias("n"))
     rows = (rows.repartitionByRange(partitions, "n", "key") if partitions else rows).sortWithinPartitions("n", "key")
@@ -217,7 +218,8 @@ def embed_sequences(df: DataFrame, factory: Callable[[], Callable[[np.ndarray, n
                 for i, x in enumerate(lists):
                     ids[i, : len(x)] = x
                 mask = np.arange(width)[None, :] < np.array([len(x) for x in lists])[:, None]
-                vecs = np.asarray(model(ids, mask), np.float64)
+                states = model(ids, mask) if layer is None else model(ids, mask, layer=layer)
+                vecs = np.asarray(model.token_embeddings(ids) if states is None else states, np.float64)
                 pooled = vecs if vecs.ndim == 2 else numpy_pool(vecs, mask, ids, how, weights)
                 if l2:
                     pooled = pooled / np.maximum(np.linalg.norm(pooled, axis=1, keepdims=True), LEAST_NORM)

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from sonaris.functions.logits import argmax, display_probability, entropy, softmax
 from sonaris.functions.vectors import cosine
-from sonaris.operators.tokens import MASK, uniform
+from sonaris.operators.pooling import embed_sequences
+from sonaris.operators.tokens import MASK, char_tokens, uniform
 
 LEAST_PROB = 1e-45
 
@@ -55,6 +56,19 @@ def binary_predictions(df: DataFrame, *, logit: str = "logit", threshold: float
     return df.withColumn("prob", 1 / (1 + F.exp(-F.col(logit)))).withColumn("pred", (F.col("prob") >= threshold).cast("int"))
 
 
+def classify_sequences(df: DataFrame, factory: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]], *, key: str = "seq_id", tokens: str = "tokens", threshold: float = 0.5,
+                       max_len: int = 1024, pad_id: int = 18818, batch_size: int = 8) -> DataFrame:
+    """(key, logit, prob, pred): factory makes a model of (tokens, mask) to one logit a sequence. Tokens beyond max_len
+    aren't shown to it; an empty sequence is shown as pads."""
+
+    def one_column() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        model = factory()
+        return lambda ids, mask: np.asarray(model(ids, mask), np.float64).reshape(len(ids), 1)
+
+    rows = embed_sequences(df, one_column, key=key, tokens=tokens, max_len=max_len, pad_id=pad_id, batch_size=batch_size)
+    return binary_predictions(rows.select(key, F.get("embedding", 0).cast("double").alias("logit")), threshold=threshold)
+
+
 def generation_metrics(df: DataFrame, *, seq: str = "batch", step: str = "step", token: str = "token", logits: str = "logits", hidden: str | None = None, top: int = 2) -> DataFrame:
     """(seq, step, metric, value) of the raw distributions: entropy, next_token_prob, top_k_gap (largest less the
     top-th) and, with hidden vectors, hidden_cos_sim to the step before (null at first)."""
@@ -177,6 +191,37 @@ def predict_masked(df: DataFrame, factory: Callable[[], Callable[[np.ndarray, np
     return rows.mapInArrow(run, f"key {kind}, {fields}").withColumnRenamed("key", key)
 
 
+#: Ids beyond the characters, in the vocabulary of character models.
+CHAR_MASK, CHAR_PAD, CHAR_VOCAB = 128, 129, 130
+
+
+def predict_masked_text(df: DataFrame, factory: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]], *, key: str = "doc_id", text: str = "text", prob: float | None = None, positions: list[int] | None = None,
+                        top: int = 5, max_len: int = 2048, seed: int = 0, batch_size: int = 32) -> DataFrame:
+    """(key, original_text, masked_text, predictions array<struct<position, original_char, predicted_char,
+    topk array<struct<char, prob>>>>) of the first max_len ASCII characters, in one pass. Either the given positions
+    become the mask, or each is chosen with probability prob and corrupted as corrupt() does. A text without a masked
+    character has no predictions."""
+    if (prob is None) == (positions is None):
+        raise ValueError("give either prob or positions")
+    rows = char_tokens(df.select(key, text), text=text, max_len=max_len)
+    if positions is not None:
+        rows = rows.withColumn("chosen", F.transform("tokens", lambda t, i: i.isin(*positions)))
+        rows = rows.withColumn("corrupted", F.transform("tokens", lambda t, i: F.when(F.get("chosen", i), F.lit(CHAR_MASK)).otherwise(t)))
+    else:
+        rows = corrupt(rows, key=key, prob=prob, mask_id=CHAR_MASK, vocab=CHAR_VOCAB - 1, seed=seed)
+    found = predict_masked(rows, factory, key=key, iterations=1, top=top, pad_id=CHAR_PAD, batch_size=batch_size)
+    shown = F.struct("position", _char("original_id").alias("original_char"), _char("predicted_id").alias("predicted_char"), F.transform("top", lambda x: F.struct(_char(x["id"]).alias("char"), x["prob"].alias("prob"))).alias("topk"))
+    found = found.groupBy(F.col(key).alias("__key")).agg(F.sort_array(F.collect_list(shown)).alias("predictions"))  # max_len bounds a group
+    spell = lambda ids: F.array_join(F.transform(ids, _char), "")
+    rows = rows.select(key, spell("tokens").alias("original_text"), spell("corrupted").alias("masked_text"))
+    return rows.join(found, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key").withColumn("predictions", F.coalesce("predictions", F.array().cast(found.schema["predictions"].dataType)))
+
+
+def _char(token: Column | str) -> Column:
+    t = F.col(token) if isinstance(token, str) else token
+    return F.when(t < CHAR_MASK, F.char(t)).when(t == CHAR_MASK, F.lit("[M]")).when(t == CHAR_PAD, F.lit("[P]")).otherwise(F.concat(F.lit("["), t.cast("string"), F.lit("]")))
+
+
 def prediction_report(df: DataFrame, predictions: DataFrame, *, key: str = "seq_id", original: str = "tokens", corrupted: str = "corrupted") -> DataFrame:
     """(key, original, masked, predicted, reconstructed) as texts of ids; only masked places are shown as predicted."""
     found = predictions.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("position", "predicted_id"))).alias("p"))

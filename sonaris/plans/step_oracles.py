@@ -100,6 +100,14 @@ def oracle_sql() -> dict[str, str]:
         s AS (SELECT a.batch, a.i, (b.i + 9) % 10 AS j, list_dot_product(a.e, b.e) * 5 AS x FROM v a JOIN v b USING (batch)),
         r AS (SELECT *, ln(sum(exp(x)) OVER (PARTITION BY batch, i)) - x AS lr, ln(sum(exp(x)) OVER (PARTITION BY batch, j)) - x AS lc FROM s)
         SELECT batch, {_r('avg(lr)')} AS loss_rows, {_r('avg(lc)')} AS loss_columns, {_r('(avg(lr) + avg(lc)) / 2')} AS loss FROM r WHERE i = j GROUP BY batch"""
+    out["batch_retrieval"] = f"""WITH v AS (SELECT vec_id // 10 AS batch, vec_id % 10 AS i, embedding::DOUBLE[] AS e FROM embeddings),
+        s AS (SELECT a.batch, a.i, (b.i + 9) % 10 AS j, round(list_dot_product(a.e, b.e), 9) AS x FROM v a JOIN v b USING (batch)),
+        d AS (SELECT batch, 0 AS way, i AS a, j AS b, x FROM s UNION ALL SELECT batch, 1, j, i, x FROM s),
+        k AS (SELECT batch, way, a, arg_max(b, struct_pack(x := x, b := -b)) AS best FROM d GROUP BY ALL),
+        p AS (SELECT batch, way, best AS c, count(*) AS n FROM k GROUP BY ALL),
+        o AS (SELECT y.batch, y.way, y.a, 1 + count(z.b) AS place FROM d y LEFT JOIN d z ON z.batch = y.batch AND z.way = y.way AND z.a = y.a AND (z.x > y.x OR z.x = y.x AND z.b < y.b) WHERE y.a = y.b GROUP BY ALL)
+        SELECT o.batch, {_r('avg(CAST(place = 1 AS INTEGER))')} AS recall_at_1, {_r('avg(CAST(place <= 5 AS INTEGER))')} AS recall_at_top, {_r('avg(CASE WHEN place <= 5 THEN 1.0 / place ELSE 0 END)')} AS mrr,
+               {_r('avg(CASE WHEN place = 1 THEN 2.0 / (1 + n) ELSE 0 END)')} AS f1 FROM o LEFT JOIN p ON p.batch = o.batch AND p.way = o.way AND p.c = o.a GROUP BY o.batch"""
     out["share_summary"] = f"""WITH s AS (SELECT CAST(CAST(avg(CAST(role = 'assistant' AS INTEGER)) AS FLOAT) AS DOUBLE) AS share FROM conversations GROUP BY conv_id HAVING abs(CAST(avg(CAST(role = 'assistant' AS INTEGER)) AS FLOAT) - 0.5) <= 0.1 + 1e-7)
         SELECT count(*) AS n, {_r('avg(share)')} AS mean, {_r('stddev_pop(share)')} AS std, {_r('min(share)')} AS min, {_r('max(share)')} AS max FROM s"""
     out["attention_received"] = f"WITH {_ATT} SELECT seq_id, j AS pos, {_r('sum(w) / 2')} AS score FROM a GROUP BY seq_id, j"

@@ -224,6 +224,15 @@ def biased_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.posexplode("p").alias("token", "value")).where(F.col("value") > float("-inf")).withColumn("value", r6("value"))
 
 
+def batch_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval metrics of batches of ten rows, in both directions."""
+    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 10).cast("long").alias("batch"), (F.col("vec_id") % 10).alias("i"), doubles("embedding").alias("v"))
+    other = e.select("batch", F.pmod(F.col("i") - 1, F.lit(10)).alias("j"), F.col("v").alias("w"))
+    dot = F.round(F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 9)
+    out = balance.contrastive_metrics(e.join(other, "batch").select("batch", "i", "j", dot.alias("sim")), batch=["batch"])
+    return out.select("batch", *[r6(c).alias(c) for c in ("recall_at_1", "recall_at_top", "mrr", "f1")])
+
+
 def batch_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contrastive loss of batches of ten rows, each row with the one after it in its batch as its pair."""
     e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 10).cast("long").alias("batch"), (F.col("vec_id") % 10).alias("i"), doubles("embedding").alias("v"))
@@ -302,7 +311,7 @@ def sample_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (midi_round_trip, midi_message_counts, score_opus, mixed_tracks, common_ticks, score_kinds, file_lengths, bank_selects, quantized_notes, piano_notes, distinct_pitch_notes, fixed_durations, transposed_notes, patched_notes,
            sustained_notes, chord_table, repaired_chords, token_streams, decoded_notes, corrupted_tokens, ended_sequences, matching_tokens, concat_pooled, logit_accuracy, binary_scores, generation_signals, sequence_probabilities,
-           penalised_logits, biased_logits, batch_losses, share_summary, attention_received, attention_rollout, occluded_variants, occlusion, prediction_surprise, pair_synergy, valid_topk, int16_samples, sample_schedule)
+           penalised_logits, biased_logits, batch_losses, batch_retrieval, share_summary, attention_received, attention_rollout, occluded_variants, occlusion, prediction_surprise, pair_synergy, valid_topk, int16_samples, sample_schedule)
 
 
 def queries() -> dict:

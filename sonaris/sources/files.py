@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import shutil
 import wave
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,27 +81,43 @@ def copy_manifest(matches: DataFrame, catalog: DataFrame, out: str) -> DataFrame
 
 
 def copy_files(manifest: DataFrame) -> DataFrame:
-    """Copies what was found, on the executors; (dst, copied, error). Source and target must be
-    folders that all executors share; a file that fails doesn't stop the others."""
+    """Copies what was found, on the executors; (dst, copied, error). Source and target are folders that all
+    executors share, or URIs that pyarrow's file systems know (s3a and s3n are read as s3, hdfs, gs); a file that
+    fails doesn't stop the others, and none is seen half written: a local or hdfs one is moved into place, an object
+    appears when its upload ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             done = []
             for src, dst in zip(b.column("src").to_pylist(), b.column("dst").to_pylist()):
                 try:
-                    target = Path(dst.removeprefix("file:"))
-                    target.parent.mkdir(parents=True, exist_ok=True)
-                    aside = target.with_name(target.name + ".part")
-                    shutil.copyfile(src.removeprefix("file:"), aside)
-                    aside.replace(target)
+                    _copy(src, dst)
                     done.append((dst, True, None))
-                except OSError as e:
+                except (OSError, pa.ArrowException) as e:
                     done.append((dst, False, str(e)))
             yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.bool_(), pa.string()))], ["dst", "copied", "error"])
 
     return manifest.where("found").select("src", "dst").mapInArrow(run, "dst string, copied boolean, error string")
 
 
+def _file_system(path: str) -> tuple[fs.FileSystem, str]:
+    if "://" in path and not path.startswith("file:"):
+        return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
+    return fs.LocalFileSystem(), path.removeprefix("file://").removeprefix("file:")
+
+
+def _copy(src: str, dst: str) -> None:
+    (source, at), (target, to) = _file_system(src), _file_system(dst)
+    objects = target.type_name in ("s3", "gcs", "abfs")
+    aside = to if objects else to + ".part"
+    if not objects:
+        target.create_dir(to.rpartition("/")[0], recursive=True)
+    with source.open_input_stream(at) as read, target.open_output_stream(aside) as write:
+        shutil.copyfileobj(read, write, 1 << 20)
+    if not objects:
+        target.move(aside, to)
+
+
 def write_normalized(files: DataFrame, out: str, *, key: str = "path", content: str = "content") -> DataFrame:
     """(src, dst, written, error): each MIDI file decoded, encoded and written below out under its own name, or
     with _normalized added where that is the file itself. out must be a folder that all executors share."""
