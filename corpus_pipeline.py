@@ -20,8 +20,8 @@ from sonaris.session import ship
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language; the others go. Profiles are learned from documents of the whole
-    table, as in the language query."""
+    """Documents of a known language; the others go. Profiles and limits are learned from all labelled
+    documents of the table, without the fold that the language query holds out."""
     return keep_known_languages(docs)
 
 

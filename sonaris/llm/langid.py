@@ -6,10 +6,10 @@ out-of-place distance: the sum over the document's own profile of how far each n
 its rank in the language's profile, ``profile`` where it is absent.  The score is one minus that
 distance over its maximum.
 
-Profiles are learned from about ``learn_docs`` labelled documents of each language, chosen by a hash
-of their key (all, if there are fewer); a document's prediction uses nothing but its whole text.
-keep_known_languages rejects scores below a limit of each language, which comes from the same
-documents: ``MARGIN`` of the score that all but ``LOWEST`` of them exceed, ``MIN_SCORE`` at least.
+Profiles are learned from the whole texts of all labelled documents that aren't held out; a
+document's prediction uses nothing but its whole text.  keep_known_languages rejects scores below a
+limit of each language, which comes from the same documents: ``MARGIN`` of the score that all but
+``LOWEST`` of them exceed, in whole steps of ``1 / STEPS``, ``MIN_SCORE`` at least.
 
 Edge cases: a null text, or one without any letter, is ``und`` with score 0; so is everything when no
 labelled document exists; ties go to the smaller language name, equal frequencies to the smaller
@@ -30,16 +30,19 @@ from pyspark.sql import functions as F
 
 from sonaris.llm.bpe import slices
 
-#: Length of a profile, and labelled documents of a language that it is learned from (about).
+#: Length of a profile.
 PROFILE = 300
-LEARN_DOCS = 2000
 #: Scores are rejected below MARGIN of this quantile of the scores of a language's labelled documents.
 LOWEST, MARGIN = 0.01, 0.7
+#: For that quantile, scores are counted by whole steps, so that its tables don't grow with the input.
+STEPS = 10_000
 #: The least limit: words of random letters score up to 0.22 from 20 words on.
 MIN_SCORE = 0.25
 UNKNOWN = "und"
 CHUNK_BYTES = 1 << 20
 MAX_ROWS = 60_000
+#: N-grams that a task sums before it passes them on.
+HELD_GRAMS = 200_000
 
 _SPACE = 32
 
@@ -132,45 +135,53 @@ def _parts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
                 yield b.slice(at, MAX_ROWS)
 
 
-def _labelled(df: DataFrame, key: str, text: str, lang: str, learn_docs: int) -> DataFrame | None:
-    """(key, lang, text) of the documents that are learned from; None if no document is labelled."""
-    known = df.where(~held_out(key) & F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    totals = known.groupBy("lang").count().collect()  # one number for each language
-    if not totals:
-        return None
-    chance = F.create_map(*[F.lit(x) for r in totals for x in (r.lang, min(1.0, learn_docs / r["count"]))])
-    draw = F.pmod(F.xxhash64("key", F.lit("profile")), F.lit(1 << 30)) / float(1 << 30)
-    return known.where(draw < F.element_at(chance, F.col("lang")))
+def _added(grams: np.ndarray, counts: np.ndarray, more: np.ndarray, more_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of both with the sums of their counts."""
+    own, back = np.unique(np.concatenate([grams, more]), return_inverse=True)
+    sums = np.zeros(len(own), np.int64)
+    np.add.at(sums, back, np.concatenate([counts, more_counts]))
+    return own, sums
 
 
-def learn_profiles(df: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", size: int = PROFILE, learn_docs: int = LEARN_DOCS) -> Profiles:
-    """Profiles from the labelled documents that aren't held out. What is collected is bounded by
+def _labelled(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
+    """(key, lang, text) of all documents that are learned from."""
+    known = df.where(~held_out(key) & F.col(lang).isNotNull())
+    return known.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+
+
+def learn_profiles(df: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", size: int = PROFILE) -> Profiles:
+    """Profiles from all labelled documents that aren't held out. What is collected is bounded by
     the number of languages times the profile's length."""
-    chosen = _labelled(df, key, text, lang, learn_docs)
-    return _profiles(chosen, size) if chosen is not None else Profiles([], size)
+    return _profiles(_labelled(df, key, text, lang), size)
 
 
-def _profiles(chosen: DataFrame, size: int) -> Profiles:
+def _profiles(known: DataFrame, size: int) -> Profiles:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for b in _parts(batches, "text"):
             names = np.array(b.column("lang").to_pylist(), object)
             for name in sorted(set(names)):
                 texts = [t for t, keep in zip(b.column("text").to_pylist(), names == name) if keep and t]
-                if texts:
-                    _, grams, counts = ngram_counts(texts)
-                    own, back = np.unique(grams, return_inverse=True)
-                    sums = np.bincount(back, weights=counts).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(own.astype(np.int64)), pa.array(sums)], ["lang", "gram", "n"])
-
-    sums = chosen.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+                _, grams, counts = ngram_counts([" ".join(texts)])
+                held[name] = _added(*held[name], grams, counts) if name in held else (grams, counts)
+            if sum(len(grams) for grams, _ in held.values()) > HELD_GRAMS:
+                yield from rows(held)
+                held = {}
+        yield from rows(held)
+
+    def rows(held: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for name, (grams, counts) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
+
+    sums = known.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     rows = sums.withColumn("rank", rank).where(F.col("rank") <= size).collect()
     return Profiles([(r.lang, r.gram, r["rank"] - 1) for r in rows], size)
 
 
-def identify_language(df: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", size: int = PROFILE, learn_docs: int = LEARN_DOCS, profiles: Profiles | None = None) -> DataFrame:
+def identify_language(df: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", size: int = PROFILE, profiles: Profiles | None = None) -> DataFrame:
     """All columns of df, held_out boolean, lang_pred string and score double (0 to 1)."""
-    model = df.sparkSession.sparkContext.broadcast(profiles or learn_profiles(df, key=key, text=text, lang=lang, size=size, learn_docs=learn_docs))
+    model = df.sparkSession.sparkContext.broadcast(profiles or learn_profiles(df, key=key, text=text, lang=lang, size=size))
     made = ["held_out", "lang_pred", "score"]
     own = [c for c in df.columns if c not in made]
     frame = df.select(*own, held_out(key).alias("held_out"), F.col(text).cast("string").alias("__text"))
@@ -184,23 +195,22 @@ def identify_language(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     return frame.mapInArrow(run, fields)
 
 
-def _limits(chosen: DataFrame, profiles: Profiles) -> dict[str, float]:
-    """Each language's least score, from the documents labelled with it and found to be of it."""
-    judged = identify_language(chosen, key="key", profiles=profiles).where("lang = lang_pred")
-    rows = judged.groupBy("lang").agg(F.percentile("score", F.lit(LOWEST)).alias("low")).collect()  # one number for each language
-    return {r.lang: max(MIN_SCORE, MARGIN * r.low) for r in rows}
+def _limits(known: DataFrame, profiles: Profiles) -> dict[str, float]:
+    """Each language's least score, from all documents labelled with it and found to be of it."""
+    judged = identify_language(known, key="key", profiles=profiles).where("lang = lang_pred")
+    counts = judged.groupBy("lang", F.floor(F.col("score") * STEPS).alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.groupBy("lang").agg(F.percentile("step", F.lit(LOWEST), F.col("n")).alias("low")).collect()  # one number for each language
+    return {r.lang: max(MIN_SCORE, MARGIN * r.low / STEPS) for r in rows}
 
 
-def keep_known_languages(df: DataFrame, *, min_score: float | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", size: int = PROFILE, learn_docs: int = LEARN_DOCS, profiles: Profiles | None = None) -> DataFrame:
+def keep_known_languages(df: DataFrame, *, min_score: float | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", size: int = PROFILE, profiles: Profiles | None = None) -> DataFrame:
     """df without the documents whose language is unknown or scored below min_score, by default below the
     limit of the language that they are given."""
     limit = F.lit(MIN_SCORE if min_score is None else min_score)
-    if min_score is None or profiles is None:
-        chosen = _labelled(df, key, text, lang, learn_docs)
-        profiles = profiles or (_profiles(chosen, size) if chosen is not None else Profiles([], size))
-        if min_score is None and chosen is not None:
-            found = _limits(chosen, profiles)
-            if found:
-                limit = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for item in sorted(found.items()) for x in item]), F.col("lang_pred")), limit)
-    judged = identify_language(df, key=key, text=text, lang=lang, size=size, learn_docs=learn_docs, profiles=profiles)
+    profiles = profiles or learn_profiles(df, key=key, text=text, lang=lang, size=size)
+    if min_score is None:
+        found = _limits(_labelled(df, key, text, lang), profiles)
+        if found:
+            limit = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for item in sorted(found.items()) for x in item]), F.col("lang_pred")), limit)
+    judged = identify_language(df, key=key, text=text, lang=lang, size=size, profiles=profiles)
     return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= limit)).select(*df.columns)

@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 import time
+import zlib
 from collections import Counter
 from html.parser import HTMLParser
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -281,6 +283,39 @@ def test_prediction_against_brute_force(spark, sf):
         assert r.lang_pred == best and r.score == pytest.approx(1 - cost[best] / (50 * len(own)))
 
 
+@pytest.mark.parametrize("held", [100, 200_000])
+def test_all_labelled_documents_count(spark, monkeypatch, held):
+    monkeypatch.setattr(langid, "HELD_GRAMS", held, raising=False)
+    rng = random.Random(8)
+    letters = {"a": "abcdefghij" * 2 + "klmnop", "b": "klmnopqrst" * 2 + "abcdef"}
+    rows = [(i, " ".join("".join(rng.choices(letters[lang], k=rng.randint(2, 5))) for _ in range(rng.randint(5, 12))), lang) for i in range(7000) for lang in ["ab"[i % 2]]]
+    rows += [(7000, "", "a"), (7001, None, "b"), (7002, "123", "a"), (None, "zz", "a")]
+    learned = [r for r in rows if zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 5]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    profiles = langid.learn_profiles(docs, size=200)
+    for name, own, ranks in zip(profiles.names, profiles.grams, profiles.ranks):
+        sums = Counter()
+        for _, text, lang in learned:
+            if lang == name:
+                sums.update(grams(text or ""))
+        assert dict(zip(own.tolist(), ranks.tolist())) == {g: i for i, (g, _) in enumerate(sorted(sums.items(), key=lambda x: (-x[1], x[0]))[:200])}
+    assert profiles.names == ["a", "b"]
+
+    scores = {}
+    found, score = profiles.predict([r[1] or "" for r in learned])
+    for (_, _, lang), is_, x in zip(learned, found, score):
+        if lang == is_:
+            scores.setdefault(lang, []).append(np.floor(x * langid.STEPS))
+    want = {lang: max(langid.MIN_SCORE, langid.MARGIN * np.quantile(x, langid.LOWEST) / langid.STEPS) for lang, x in scores.items()}
+    assert min(map(len, scores.values())) > 2500 and max(want.values()) > langid.MIN_SCORE
+    limits = langid._limits(langid._labelled(docs, "doc_id", "text", "lang"), profiles)
+    assert limits == pytest.approx(want)
+    found, score = profiles.predict([r[1] or "" for r in rows])
+    kept = [r[0] for r, lang, x in zip(rows, found, score) if lang != "und" and x >= limits[lang]]
+    got = [r.doc_id for r in langid.keep_known_languages(docs, profiles=profiles).collect()]
+    assert sorted(got, key=str) == sorted(kept, key=str) and len(got) < len(rows) - 3
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.identify_language(docs).where("held_out AND length(text) > 100")
