@@ -66,7 +66,8 @@ def contrastive_loss(sims: DataFrame, *, row: str = "i", col: str = "j", sim: st
 
 def contrastive_metrics(sims: DataFrame, *, row: str = "i", col: str = "j", sim: str = "sim", batch: list[str] | None = None, top: int = 5) -> DataFrame:
     """One row (of each batch): recall_at_1, recall_at_top, mrr (0 beyond the top) and macro f1 of the best match, each
-    the mean of both directions. The diagonal holds the pairs; of equal similarities the smaller number comes first."""
+    the mean of both directions. The diagonal holds the pairs; of equal similarities the smaller number comes first. What
+    has no pair in its batch can be predicted but isn't counted itself."""
     batch = batch or []
     both = []
     for by, other in ((row, col), (col, row)):
@@ -74,7 +75,7 @@ def contrastive_metrics(sims: DataFrame, *, row: str = "i", col: str = "j", sim:
         ranked = sims.select(*batch, F.col(by).alias("__by"), F.col(other).alias("__other"), F.row_number().over(order).alias("__rank"))
         own = F.col("__by") == F.col("__other")
         # of a class with one true row: 2 hits / (1 + times predicted), which is 0 without a hit
-        classes = ranked.groupBy(*batch, "__other").agg(F.min(F.when(own, F.col("__rank"))).alias("rank"), F.count(F.when(F.col("__rank") == 1, 1)).alias("predicted"))
+        classes = ranked.groupBy(*batch, "__other").agg(F.min(F.when(own, F.col("__rank"))).alias("rank"), F.count(F.when(F.col("__rank") == 1, 1)).alias("predicted")).where("rank IS NOT NULL")
         hit = (F.col("rank") == 1).cast("double")
         both.append(classes.select(*batch, hit.alias("r1"), (F.col("rank") <= top).cast("double").alias("rt"), F.when(F.col("rank") <= top, 1 / F.col("rank")).otherwise(0.0).alias("rr"), (2 * hit / (1 + F.col("predicted"))).alias("f")))
     return both[0].unionByName(both[1]).groupBy(*batch).agg(F.avg("r1").alias("recall_at_1"), F.avg("rt").alias("recall_at_top"), F.avg("rr").alias("mrr"), F.avg("f").alias("f1"))
