@@ -1,8 +1,9 @@
 """Incomplete groups, and steps whose memory doesn't follow the input."""
 
+import numpy as np
 import pytest
 
-from sonaris.operators import balance
+from sonaris.operators import balance, search
 
 
 def test_what_has_no_pair_in_its_batch_is_not_counted(spark):
@@ -12,3 +13,34 @@ def test_what_has_no_pair_in_its_batch_is_not_counted(spark):
     assert [r.b for r in rows] == [0]
     # row 0 finds its column first, column 0 its row second; column 0 is predicted twice
     assert (rows[0].recall_at_1, rows[0].recall_at_top, rows[0].mrr, rows[0].f1) == pytest.approx((0.5, 1.0, 0.75, 1 / 3))
+
+
+@pytest.mark.parametrize("n", [40, 90])
+def test_tiles_find_what_brute_force_finds(monkeypatch, n):
+    monkeypatch.setattr(search, "TILE", (4, 16))
+    rng = np.random.default_rng(n)
+    q, c = rng.integers(-2, 3, (11, 3)).astype(float), rng.integers(-2, 3, (n, 3)).astype(float)  # many ties
+    ids, kinds, own = rng.permutation(n), rng.integers(0, 3, n), rng.integers(0, 3, 11)
+    found = search._best(np.arange(11), q, ids, c, 20, True, own, kinds)
+    want = [(i, ids[j], q[i] @ c[j]) for i in range(11) for j in sorted(range(n), key=lambda j: (-(q[i] @ c[j]), ids[j])) if ids[j] != i and kinds[j] != own[i]]
+    want = [x for i in range(11) for x in [w for w in want if w[0] == i][:20]]
+    assert list(zip(*found)) == want
+
+
+def test_no_array_of_similarities_is_wider_than_a_tile(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 300)
+    monkeypatch.setattr(search, "LEAST_BLOCK", 50)
+    x = np.random.default_rng(2).standard_normal((1000, 4))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = search.knn_self(df, k=3, max_broadcast=10)
+    x = x.astype(np.float32).astype(float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = (u @ u.T).round(12)
+    np.fill_diagonal(sims, -np.inf)
+    want = {(i, r): j for i in range(1000) for r, j in enumerate(np.lexsort((np.arange(1000), -sims[i]))[:3], 1)}
+    assert {(r.query_id, r["rank"]): r.corpus_id for r in got.collect()} == want
+    seen = []
+    monkeypatch.setattr(np, "nonzero", lambda m, f=np.nonzero: (seen.append(m.shape), f(m))[1])
+    search._best(np.arange(1000), u, np.arange(1000), u, 3, True)
+    search._best(np.arange(1000), u, np.arange(20_000), np.resize(u, (20_000, 4)), 3, True)
+    assert max(np.prod(x) for x in seen) <= search.TILE[0] * search.TILE[1]
