@@ -44,3 +44,14 @@ def test_no_array_of_similarities_is_wider_than_a_tile(spark, monkeypatch):
     search._best(np.arange(1000), u, np.arange(1000), u, 3, True)
     search._best(np.arange(1000), u, np.arange(20_000), np.resize(u, (20_000, 4)), 3, True)
     assert max(np.prod(x) for x in seen) <= search.TILE[0] * search.TILE[1]
+
+
+
+def test_tiles_bound_a_search_among_other_labels(monkeypatch):
+    monkeypatch.setattr(search, "TILE", (8, 32))
+    seen = []
+    monkeypatch.setattr(np, "putmask", lambda a, m, v, f=np.putmask: (seen.append(m.shape), f(a, m, v)))
+    x, kind = np.random.default_rng(4).standard_normal((200, 3)), np.arange(200) % 3
+    q, c, _ = search._best(np.arange(200), x, np.arange(200), x, 5, False, kind, kind)
+    assert len(q) == 1000 and (kind[q] != kind[c]).all()
+    assert max(seen) == (8, 32)
