@@ -55,3 +55,14 @@ def test_tiles_bound_a_search_among_other_labels(monkeypatch):
     q, c, _ = search._best(np.arange(200), x, np.arange(200), x, 5, False, kind, kind)
     assert len(q) == 1000 and (kind[q] != kind[c]).all()
     assert max(seen) == (8, 32)
+
+
+
+def test_tiles_bound_a_search_of_variants(monkeypatch):
+    monkeypatch.setattr(search, "TILE", (12, 40))
+    seen = []
+    monkeypatch.setattr(np, "partition", lambda a, n, f=np.partition, **o: (seen.append(a.shape), f(a, n, **o))[1])
+    x = np.random.default_rng(6).standard_normal((500, 3))
+    q, c, sim = search._best(np.arange(24), x[:24], np.arange(500), x, 16, False)
+    assert (np.bincount(q) == 16).all() and (c == np.concatenate([np.lexsort((np.arange(500), -(x[i] @ x.T).round(12)))[:16] for i in range(24)])).all()
+    assert set(seen) == {(12, 40)}
