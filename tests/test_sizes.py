@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from sonaris.operators import balance, search
+from sonaris.sources import midi
 
 
 def test_what_has_no_pair_in_its_batch_is_not_counted(spark):
@@ -66,3 +67,23 @@ def test_tiles_bound_a_search_of_variants(monkeypatch):
     q, c, sim = search._best(np.arange(24), x[:24], np.arange(500), x, 16, False)
     assert (np.bincount(q) == 16).all() and (c == np.concatenate([np.lexsort((np.arange(500), -(x[i] @ x.T).round(12)))[:16] for i in range(24)])).all()
     assert set(seen) == {(12, 40)}
+
+
+def test_files_are_written_from_events_as_they_come(spark, monkeypatch):
+    files = {f: [{"track": t, "seq": s, "event": n, "time": s, "channel": t, "a": s % 128, "b": 64} for t in (0, 2) for s, n in enumerate(["note_on", "note_off", "nonsense", "control_change"] * 25)] for f in ("a", "b", "c", None)}
+    rows = [(f, 96, *e.values(), None, None) for f, events in files.items() for e in events]
+    np.random.default_rng(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "file_id string, ticks int, track int, seq int, event string, time bigint, channel int, a int, b int, text binary, extra array<int>").repartition(5)
+    want = {f: midi.encode_file(96, events) for f, events in files.items()}
+    assert {r.file_id: (bytes(r.content), r.warnings) for r in midi.write_midi(df).collect()} == want
+    asked = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: (asked.append((self, f)), self)[1])
+    midi.write_midi(df)
+    events = asked[0][0].toArrow()
+    assert events.num_rows == len(rows)  # not a row for a file
+    monkeypatch.setattr(midi, "FILES", 1)
+    taken = []
+    made = asked[0][1](taken.append(b) or b for b in events.to_batches(max_chunksize=50))
+    first = next(made)
+    assert sum(b.num_rows for b in taken) <= 250 and first.num_rows == 1
+    assert {r["file_id"]: (r["content"], r["warnings"]) for b in (first, *made) for r in b.to_pylist()} == want
