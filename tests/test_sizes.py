@@ -87,3 +87,14 @@ def test_files_are_written_from_events_as_they_come(spark, monkeypatch):
     first = next(made)
     assert sum(b.num_rows for b in taken) <= 250 and first.num_rows == 1
     assert {r["file_id"]: (r["content"], r["warnings"]) for b in (first, *made) for r in b.to_pylist()} == want
+
+
+def test_hashes_are_made_file_by_file(spark, monkeypatch):
+    raw, _ = midi.encode_file(96, [{"track": 0, "seq": 0, "event": "note_on", "time": 5, "channel": 1, "a": 25, "b": 96}])
+    df = spark.createDataFrame([(f"d/{i}.mid", raw + b"x" * i) for i in range(3)], "path string, content binary").coalesce(1)
+    assert {r.name: r.normalized_md5 for r in midi.normalized_hashes(df).collect()}.keys() == {"0", "1", "2"}
+    asked = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema, g=type(df).mapInArrow: (asked.append((self, f)), g(self, f, schema))[1])
+    midi.normalized_hashes(df)
+    made = list(asked[0][1](iter(asked[0][0].toArrow().combine_chunks().to_batches())))
+    assert [b.num_rows for b in made] == [1, 1, 1] and {b.to_pylist()[0]["again"] for b in made} == {raw}
